@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from sparkloom.llm import oracles
 from sparkloom.llm.common import table
 from sparkloom.llm.decontaminate import decontaminate
+from sparkloom.llm.pii import pii_report
 from sparkloom.llm.sharding import assign_shards
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +25,11 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of personal data in each document."""
+    return pii_report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {name: query for name, query in globals().items() if name.startswith("op") and callable(query)}
 
