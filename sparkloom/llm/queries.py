@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from sparkloom.llm import oracles
 from sparkloom.llm.common import table
 from sparkloom.llm.decontaminate import decontaminate
+from sparkloom.llm.language import identify
+from sparkloom.llm.media import media_digests
 from sparkloom.llm.pii import pii_report
 from sparkloom.llm.sharding import assign_shards
 
@@ -20,6 +22,16 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(table(spark, sf_dir, "documents"))
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of each document, learned from those that are not held out."""
+    return identify(table(spark, sf_dir, "documents"))
+
+
+def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's bytes as samples of a media file, carved by signature and read back."""
+    return media_digests(table(spark, sf_dir, "documents"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of each document inside windows of ten words of the benchmark."""
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
