@@ -13,6 +13,7 @@ from sparkloom.llm.language import identify
 from sparkloom.llm.media import media_digests
 from sparkloom.llm.pii import pii_report
 from sparkloom.llm.sharding import assign_shards
+from sparkloom.llm.urls import judge
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,6 +33,11 @@ def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_digests(table(spark, sf_dir, "documents"))
 
 
+def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on each page's url, by rules and then by trees learned from the urls the rules label."""
+    return judge(table(spark, sf_dir, "pages"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of each document inside windows of ten words of the benchmark."""
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
