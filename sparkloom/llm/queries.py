@@ -10,14 +10,28 @@ from sparkloom.llm import oracles
 from sparkloom.llm.common import table
 from sparkloom.llm.decontaminate import decontaminate
 from sparkloom.llm.language import identify
+from sparkloom.llm.linededup import dedup_lines
 from sparkloom.llm.media import media_digests
+from sparkloom.llm.mixing import mix
+from sparkloom.llm.neardup import near_classes
 from sparkloom.llm.pii import pii_report
+from sparkloom.llm.quality import score_quality
 from sparkloom.llm.sharding import assign_shards
 from sparkloom.llm.urls import judge
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class of each document: equal and near copies share the least doc_id among them."""
+    return near_classes(table(spark, sf_dir, "documents")).drop("tid")
+
+
+def op2_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document without the passages that stand earlier in the corpus."""
+    return dedup_lines(table(spark, sf_dir, "documents"))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document in one of eight shards, and in one of nine."""
     return assign_shards(table(spark, sf_dir, "documents"))
@@ -28,6 +42,11 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows taken for three fifths of all tokens, shared equally down the tree, in up to two epochs."""
+    return mix(table(spark, sf_dir, "documents"))
+
+
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's bytes as samples of a media file, carved by signature and read back."""
     return media_digests(table(spark, sf_dir, "documents"))
@@ -43,6 +62,11 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of each document from its own evidence and that of its source and language there."""
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of personal data in each document."""
     return pii_report(table(spark, sf_dir, "documents"))
