@@ -77,7 +77,7 @@ def adaptive_limit(df: DataFrame, keys: list[str], order: list[str], kind: str,
 def retry_after(value: Column, now: Column) -> Column:
     """Seconds to wait: a number, or a date in HTTP's form; null for anything else."""
     date = F.try_to_timestamp(F.regexp_replace(value, r"^[A-Za-z]{3}, | GMT$", ""), F.lit("dd MMM yyyy HH:mm:ss")).cast("double")
-    return F.coalesce(F.when(value.rlike(r"^\s*\d+(\.\d+)?\s*$"), value.try_cast("double")), F.greatest(date - now, F.lit(0.0)))
+    return F.coalesce(F.when(value.rlike(r"^\s*\d+(\.\d+)?\s*$"), value.try_cast("double")), F.when(date.isNotNull(), F.greatest(date - now, F.lit(0.0))))
 
 
 def pause(retry: Column, throttled: Column) -> Column:
