@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 
+ROOT = Path(__file__).resolve().parents[1]
+
 
 def build_session(app: str = "sparkloom", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the operators assume: UTC and adaptive execution.
@@ -26,3 +33,16 @@ def build_session(app: str = "sparkloom", master: str | None = None, **conf: str
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the Parquet tables below ``sf_dir``."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, once for each application, unless their path has it already."""
+    context = spark.sparkContext
+    if str(ROOT) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or getattr(context, "_sparkloom_sent", False):
+        return
+    path = Path(tempfile.mkdtemp()) / "sparkloom.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for file in sorted((ROOT / "sparkloom").rglob("*.py")):
+            z.write(file, file.relative_to(ROOT))
+    context.addPyFile(str(path))
+    context._sparkloom_sent = True

@@ -1,7 +1,8 @@
 """Stateful rules on streams: only the state is held, keyed, in the state store.
 
 The folds are those of ``sparkloom.operators.state``; a stream that holds the same events in the same order gives the
-same decisions. State is dropped when its key has been silent for ``ttl`` (processing time).
+same decisions. With ``ttl_ms``, state is dropped when its key has been silent that long (processing time); a stream that
+should end by itself (``availableNow``) needs it unset, as a pending timeout asks for one more batch without end.
 """
 
 from __future__ import annotations
@@ -14,7 +15,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-def cooldown(stream: DataFrame, key: str, at: str, gap: float, ttl_ms: int = 86_400_000) -> DataFrame:
+def _timeout(ttl_ms: int | None) -> str:
+    return GroupStateTimeout.ProcessingTimeTimeout if ttl_ms else GroupStateTimeout.NoTimeout
+
+
+def cooldown(stream: DataFrame, key: str, at: str, gap: float, ttl_ms: int | None = None) -> DataFrame:
     """(key, at, accepted): an event is accepted ``gap`` seconds or more after the last accepted one of its key."""
 
     def step(own: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -29,13 +34,14 @@ def cooldown(stream: DataFrame, key: str, at: str, gap: float, ttl_ms: int = 86_
                 last = t if kept[-1] else last
             yield pd.DataFrame({"key": own[0], "at": times, "accepted": kept})
         state.update((last,))
-        state.setTimeoutDuration(ttl_ms)
+        if ttl_ms:
+            state.setTimeoutDuration(ttl_ms)
 
     rows = stream.select(F.col(key).cast("string").alias("key"), F.col(at).cast("double").alias("at"))
-    return rows.groupBy("key").applyInPandasWithState(step, "key string, at double, accepted boolean", "last double", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return rows.groupBy("key").applyInPandasWithState(step, "key string, at double, accepted boolean", "last double", "append", _timeout(ttl_ms))
 
 
-def adaptive_limit(stream: DataFrame, key: str, at: str, kind: str, start: int = 6, top: int = 12, ttl_ms: int = 86_400_000) -> DataFrame:
+def adaptive_limit(stream: DataFrame, key: str, at: str, kind: str, start: int = 6, top: int = 12, ttl_ms: int | None = None) -> DataFrame:
     """(key, limit, ok, throttled, errors) of each key after each batch that has its events."""
 
     def step(own: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -54,12 +60,13 @@ def adaptive_limit(stream: DataFrame, key: str, at: str, kind: str, start: int =
             else:
                 errors, row = errors + 1, 0
         state.update((limit, row, ok, slow, errors))
-        state.setTimeoutDuration(ttl_ms)
+        if ttl_ms:
+            state.setTimeoutDuration(ttl_ms)
         yield pd.DataFrame({"key": [own[0]], "limit": [limit], "ok": [ok], "throttled": [slow], "errors": [errors]})
 
     rows = stream.select(F.col(key).cast("string").alias("key"), F.col(at).cast("double").alias("at"), F.col(kind).alias("kind"))
     held = "limit long, row long, ok long, throttled long, errors long"
-    return rows.groupBy("key").applyInPandasWithState(step, "key string, limit long, ok long, throttled long, errors long", held, "update", GroupStateTimeout.ProcessingTimeTimeout)
+    return rows.groupBy("key").applyInPandasWithState(step, "key string, limit long, ok long, throttled long, errors long", held, "update", _timeout(ttl_ms))
 
 
 def once(stream: DataFrame, token: str, at: str, late: str = "1 hour") -> DataFrame:
