@@ -1,4 +1,13 @@
-"""Repeated passages by content-defined chunks of lines.
+"""Repeated passages of lines: every repeated run of two or more lines, or content-defined chunks only.
+
+``dedup_runs`` takes every pair of adjacent lines as a key, so no run of lines is missed wherever it is shifted: a pair
+that stands at an earlier place (least doc_id, then least place in the text) is removed there where it is not the first.
+Pairs that overlap are removed as one range. A place that shares a line with the first place of its own pair is kept, and
+the first place of each line always is. Single lines are no passage. Lines with equal hashes are held to be equal only
+if their bytes are.
+
+``dedup_lines`` removes only whole chunks, which is less: a chunk at the edge of a repeated run holds lines of its
+neighbours and is kept. Its rules are these.
 
 Lines are hashed, and a rolling hash over the last ``ROLL`` line hashes decides where a chunk ends, so an insertion moves
 only the boundaries near it. A chunk ends after a line whose rolling hash is 0 modulo ``EVERY``, and after ``MOST`` lines.
@@ -19,10 +28,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import broadcast_if_small, cut
+from sparkloom.llm.common import BROADCAST_ROWS, broadcast_if_small, cut
 
 ROLL, EVERY, MOST, LEAST_LINES = 2, 3, 32, 2
 #: Weights of the lines in the rolling hash, the newest first.
@@ -127,3 +136,67 @@ def dedup_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
         F.aggregate(F.coalesce("gone", F.array().cast("array<struct<at:int,n_lines:int>>")), F.lit(0), lambda n, g: n + g["n_lines"]).cast("long").alias("n_removed"),
         F.array_join(F.transform(F.coalesce("gone", F.array().cast("array<struct<at:int,n_lines:int>>")), lambda g: F.concat(g["at"].cast("string"), F.lit("+"), g["n_lines"].cast("string"))), ",").alias("removed"),
     )
+
+
+def _pairs(rows: DataFrame) -> DataFrame:
+    """(row, id, at, a, b): the hashes of each two adjacent lines, and the place of the first."""
+    n = F.size("h") - 1
+    hashed = rows.select("row", "id", F.transform(F.split("t", "\n"), lambda x: _line_hash(x)).alias("h")).filter(n > 0)
+    pairs = F.arrays_zip(F.slice("h", F.lit(1), n).alias("a"), F.slice("h", F.lit(2), n).alias("b"))
+    return hashed.select("row", "id", F.posexplode(pairs).alias("at", "p")).select("row", "id", "at", "p.a", "p.b")
+
+
+def _line_hash(line: Column) -> Column:
+    return F.xxhash64(line)
+
+
+def repeated_pairs(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(row, id, t) of the input, and (row, at) of each pair of adjacent lines that stands at an earlier place."""
+    t = F.col(f"`{text}`").cast("string")
+    rows = df.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{doc_id}`").cast("long").alias("id"), t.alias("t"))
+    pairs = _pairs(rows)
+    often = broadcast_if_small(cut(pairs.groupBy("a", "b").count().filter("count > 1").select("a", "b")))
+    places = pairs.join(often, ["a", "b"])
+    # Bytes are compared by the least and greatest line of each hash, combined before they are shuffled.
+    hashes = broadcast_if_small(often.select(F.explode(F.array("a", "b")).alias("h")).distinct(), 2 * BROADCAST_ROWS)
+    lines = rows.select("row", F.posexplode(F.split("t", "\n")).alias("at", "line")).withColumn("h", _line_hash(F.col("line")))
+    spans = lines.join(hashes, "h").groupBy("h").agg(F.min("line").alias("least"), F.max("line").alias("most"))
+    clash = cut(spans.filter(F.col("least") != F.col("most")).select("h"))
+    if clash.isEmpty():
+        places = places.withColumn("one", F.lit(None).cast("string")).withColumn("two", F.lit(None).cast("string"))
+    else:
+        split = lines.join(broadcast_if_small(clash), "h").select("row", "at", "line")
+        places = places.join(split.withColumnRenamed("line", "one"), ["row", "at"], "left")
+        places = places.join(split.select("row", (F.col("at") - 1).alias("at"), F.col("line").alias("two")), ["row", "at"], "left")
+    order = F.struct(F.col("id").isNull().alias("x"), F.col("id"), F.col("row"), F.col("at"))
+    first = places.groupBy("a", "b", "one", "two").agg(F.min(order).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    p, f = places.alias("p"), broadcast_if_small(cut(first)).alias("f")
+    same = F.col("p.one").eqNullSafe(F.col("f.one")) & F.col("p.two").eqNullSafe(F.col("f.two"))
+    met = p.join(f, (F.col("p.a") == F.col("f.a")) & (F.col("p.b") == F.col("f.b")) & same)
+    lost = met.filter((F.col("p.row") != F.col("f.first.row")) | (F.col("p.at") > F.col("f.first.at") + 1))
+    return rows, lost.select(F.col("p.row").alias("row"), F.col("p.at").alias("at"))
+
+
+def dedup_runs(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, text, n_lines, n_removed, removed): the text without its repeated runs of two or more lines, one row per input row.
+
+    ``removed`` lists the removed ranges as ``first+lines``, comma-joined, lines counted from 0; ranges do not touch.
+    """
+    rows, lost = repeated_pairs(df, doc_id, text)
+    gone = broadcast_if_small(cut(lost.groupBy("row").agg(F.array_sort(F.collect_list("at")).alias("gone"))))
+    met = rows.join(gone, "row", "left").withColumn("lines", F.split("t", "\n"))
+    # A range begins where the pair before ends above it, and ends where the next pair begins below it.
+    begins = F.filter("gone", lambda x, i: (i == 0) | (x - F.get("gone", i - 1) > 2))
+    ends = F.transform(F.filter("gone", lambda x, i: (i == F.size("gone") - 1) | (F.get("gone", i + 1) - x > 2)), lambda x: x + 2)
+    met = met.withColumn("begins", begins).withColumn("ends", ends)
+    none = F.array().cast("array<int>")
+    ranges = F.arrays_zip(F.coalesce("begins", none).alias("from"), F.coalesce("ends", none).alias("to"))
+    stays = F.arrays_zip(F.concat(F.array(F.lit(0)), "ends").alias("from"), F.concat("begins", F.array(F.size("lines"))).alias("to"))
+    kept = F.flatten(F.transform(stays, lambda r: F.slice("lines", r["from"] + 1, r["to"] - r["from"])))
+    return met.select(
+        F.col("id").alias(doc_id),
+        F.when(F.col("gone").isNull(), F.col("t")).otherwise(F.array_join(kept, "\n")).alias(text),
+        F.when(F.col("t").isNull(), 0).otherwise(F.size("lines")).cast("long").alias("n_lines"),
+        F.aggregate(ranges, F.lit(0), lambda n, r: n + r["to"] - r["from"]).cast("long").alias("n_removed"),
+        F.array_join(F.transform(ranges, lambda r: F.concat(r["from"].cast("string"), F.lit("+"), (r["to"] - r["from"]).cast("string"))), ",").alias("removed"),
+    )

@@ -10,7 +10,7 @@ from sparkloom.llm import oracles
 from sparkloom.llm.common import table
 from sparkloom.llm.decontaminate import decontaminate
 from sparkloom.llm.language import identify
-from sparkloom.llm.linededup import dedup_lines
+from sparkloom.llm.linededup import dedup_runs
 from sparkloom.llm.media import media_digests
 from sparkloom.llm.mixing import mix
 from sparkloom.llm.neardup import near_classes
@@ -28,8 +28,8 @@ def op1_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document without the passages that stand earlier in the corpus."""
-    return dedup_lines(table(spark, sf_dir, "documents"))
+    """Each document without the runs of two or more lines that stand earlier in the corpus."""
+    return dedup_runs(table(spark, sf_dir, "documents"))
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
