@@ -113,7 +113,7 @@ def decontaminate(
     span = window - gram + 1
     place = F.col("at") - F.col("first")
     places = F.when(
-        long & _is_least(F.slice(F.col("g"), F.col("first") + 1, F.greatest(F.size("w") - gram + 1, F.lit(0))), place, span),
+        long & (F.size("w") >= window) & _is_least(F.slice(F.col("g"), F.col("first") + 1, F.greatest(F.size("w") - gram + 1, F.lit(0))), place, span),
         F.sequence(F.greatest(place - (span - 1), F.lit(0)), F.least(place, F.size("w") - window)),
     ).when(~long, F.array(place))
     tried = None

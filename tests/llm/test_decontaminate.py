@@ -46,3 +46,12 @@ def test_slices_of_the_benchmark_change_nothing(spark, monkeypatch):
     want = rows(decontaminate(docs, bench))
     monkeypatch.setattr("sparkloom.llm.decontaminate.KEPT_ROWS", 3)
     assert rows(decontaminate(docs, bench)) == want
+
+
+def test_documents_shorter_than_a_window_cut_from_an_item(spark):
+    item = "zero one two three four five six seven eight nine ten eleven".split()
+    cuts = [item[s : s + n] for n in range(1, 13) for s in range(len(item) - n + 1)]
+    docs = [(i, " ".join(w)) for i, w in enumerate(cuts)]
+    for bench in ([(1, " ".join(item))], [(1, " ".join(item)), (2, "six seven"), (3, "two three four five six seven eight")]):
+        got = decontaminate(spark.createDataFrame(docs, DOCS), spark.createDataFrame(bench, ITEMS))
+        assert rows(got) == sorted(brute(docs, bench), key=str)
