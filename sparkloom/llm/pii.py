@@ -5,7 +5,7 @@ Kinds and their checks:
 ``email``, ``phone``  the expression, and for phones 9 to 15 digits
 ``ip``                four parts of at most 255
 ``card``              13 to 19 digits that pass Luhn
-``iban``              mod 97 of the rearranged letters and digits is 1
+``iban``              the length its country registers, and mod 97 of the rearranged letters and digits is 1
 ``ssn``               three, two and four digits in groups, only beside a word that names such a number
 
 The first four are the base spans, which always stay. The other two are added by score: an expression
@@ -13,7 +13,8 @@ gives 0.4, a passed checksum 0.4 more, a context word within ``NEAR`` characters
 speaks of examples 0.2 less; spans of at least ``LEAST_SCORE`` are kept. Positions count code points.
 
 Matches are leftmost and do not overlap within a kind; one that fails its check is dropped and not tried
-again in another shape. The expressions are written so that no text takes more than linear time or a deep
+again in another shape. Of IBANs the expression only finds where one may begin, at every such place; the end
+follows from the country's length, and for countries without one is that of the longest run. The expressions are written so that no text takes more than linear time or a deep
 stack: where a run can start a match only at its first character, a look-behind says so.
 
 Defined results: a null text is an empty one; a text without personal data has empty lists; repeated rows
@@ -33,7 +34,7 @@ PATTERNS = {
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?\b",
+    "iban": r"\b(?=[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2})",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
 }
 #: A character that every match of the kind has, for a cheap first look.
@@ -49,6 +50,12 @@ CONTEXT = {
 }
 AGAINST = "example|sample|test|dummy"
 NEAR, LEAST_SCORE = 40, 0.7
+#: Letters and digits of an IBAN, and the countries that have that length.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "AO CV GW LY MZ PT ST", 26: "DZ IR IS TR", 27: "BI CF CG CM DJ FR GA GQ GR IT KM MC MG MR SM TD",
+    28: "AL AZ BF BJ BY CI CY DO GT HN HU LB MA ML NE NI PL SN SV TG", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
 #: What stands between matches once they are marked. A NUL of the text is first made another control.
 MARK = "\x00"
 
@@ -110,6 +117,34 @@ def _proposed(text: Column, kind: str) -> Column:
     return walked
 
 
+def _ibans(text: Column, heads: Column) -> Column:
+    """The IBANs that begin at ``heads``, leftmost first: in groups of four with or without blanks, up to a word's end."""
+
+    def read(head: Column) -> Column:
+        # One character more than the longest match, so that the end of this part is not taken for a word's end.
+        ahead = F.substr(text, head["start"] + 1, F.lit(44))
+        country, shape = F.substr(ahead, F.lit(1), F.lit(2)), F.lit(r"^[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?\b")
+        for n, names in IBAN_LENGTHS.items():
+            groups, rest = divmod(n - 4, 4)
+            own = rf"^[A-Z]{{2}}[0-9]{{2}}(?:\x20?[A-Z0-9]{{4}}){{{groups}}}" + rf"(?:\x20?[A-Z0-9]{{{rest}}})" * (rest > 0) + r"\b"
+            shape = F.when(country.isin(*names.split()), own).otherwise(shape)
+        match = F.regexp_substr(ahead, shape)
+        return F.struct(head["kind"].alias("kind"), head["start"].alias("start"), (head["start"] + F.length(match)).alias("end"), match.alias("match"))
+
+    def listed(span: Column) -> Column:
+        return F.substr(span["match"], F.lit(1), F.lit(2)).isin(*" ".join(IBAN_LENGTHS.values()).split())
+
+    def add(out: Column, s: Column) -> Column:
+        last = F.element_at(out, -1)
+        clear = F.when(F.size(out) > 0, last["end"] <= s["start"]).otherwise(True)
+        # A country with a length goes before what only looks like one.
+        better = F.when(~clear, ~listed(last) & listed(s)).otherwise(False)
+        return F.when(clear, F.array_append(out, s)).when(better, F.array_append(F.slice(out, F.lit(1), F.size(out) - 1), s)).otherwise(out)
+
+    passed = F.filter(F.transform(heads, read), lambda s: F.when(s["match"].isNotNull(), _passes("iban", s["match"])).otherwise(False))
+    return F.aggregate(passed, F.array().cast("array<struct<kind:string,start:int,end:int,match:string>>"), add)
+
+
 def _score(text: Column, kind: str, span: Column) -> Column:
     begin = F.greatest(span["start"] - NEAR, F.lit(0))
     around = F.lower(F.concat(F.substr(text, begin + 1, span["start"] - begin), F.lit(" "), F.substr(text, span["end"] + 1, F.lit(NEAR))))
@@ -130,7 +165,8 @@ def find_pii(df: DataFrame, text: str = "text", out: str = "pii") -> DataFrame:
         if kind in ("iban", "card"):
             likely = t.rlike("[A-Z]{2}[0-9]{2}" if kind == "iban" else r"[0-9][\x20-]?[0-9]")
         name = f"{out}_{kind}"
-        work = work.withColumn(name, F.when(likely, _proposed(t, kind)))
+        spans = _proposed(t, kind)
+        work = work.withColumn(name, F.when(likely, _ibans(t, spans) if kind == "iban" else spans))
         names.append(name)
     kept = []
     for kind, name in zip(BASE + ADDED, names, strict=True):

@@ -47,3 +47,25 @@ def test_redaction_and_empty_table(spark):
     df = spark.createDataFrame([(1, "write to a@b.cd now"), (2, None), (3, "x 1.2.3.4")], SCHEMA)
     assert [r["redacted"] for r in redact(df).orderBy("doc_id").collect()] == ["write to [email] now", "", "x [ip]"]
     assert pii_report(df.limit(0)).count() == 0
+
+
+IBANS = [
+    "BE68 5390 0754 7034", "AT61 1904 3002 3457 3201", "ES91 2100 0418 4502 0005 1332", "DE89 3704 0044 0532 0130 00", "NO93 8601 1117 947", "GB29 NWBK 6016 1331 9268 19",
+    "MT84 MALT 0110 0001 2345 MTLC AST0 01S", "FR14 2004 1010 0505 0001 3M02 606", "SE45 5000 0000 0583 9825 7466", "PL61 1090 1014 0000 0712 1981 2874", "CH93 0076 2011 6238 5295 7",
+]
+
+
+def test_ibans_are_found_whatever_follows_them(spark):
+    texts, want = [], []
+    for iban in [*IBANS, *(x.replace(" ", "") for x in IBANS)]:
+        for before in ("", "IBAN ", "é𝄞 REF AB12 3456 7890 "):
+            for after in ("", ",", " BIC", " BANK", " EUR 12", " 2024", " 1234 5678", " A", " AT61 1904 3002 3457 3202 X", "x"):
+                texts.append(before + iban + after)
+                want.append([] if after == "x" else [(len(before), len(before) + len(iban))])
+    texts += [" ".join(IBANS), "BE68 5390 0754 7035 BIC", "AT61 1904 3002 3457 32 01", "XBE68539007547034", None]
+    ends = [sum(len(x) + 1 for x in IBANS[: i + 1]) - 1 for i in range(len(IBANS))]
+    want += [[(e - len(x), e) for x, e in zip(IBANS, ends)], [], [], [], []]
+    found = find_pii(spark.createDataFrame(list(enumerate(texts)), SCHEMA)).collect()
+    assert len(found) == len(texts)
+    for r in found:
+        assert [(s["start"], s["end"]) for s in r["pii"] if s["kind"] == "iban"] == want[r["doc_id"]], texts[r["doc_id"]]
