@@ -6,8 +6,9 @@ Host: what follows the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z i
 A rule is (suffix of the host, start of the path, verdict). It fits its host and every subdomain; of the rules that
 fit, the longest wins. Where none fits, the trees decide. They are learned from labelled urls, by default those that a
 rule labels, and see the url only through features: lengths, depth, share of digits, entropy, counts of parameters,
-and how often urls of the same suffix were blocked. The learning sample is bounded by ``max_rows``: the urls with the
-least hash; suffix statistics come from the same sample.
+and how often urls of the same suffix were blocked. Those statistics are counted over all labelled rows and joined to the
+urls. Only the trees learn from a sample, of at most ``max_rows`` distinct urls: a url enters with a chance in proportion
+to its rows, by its hash, and for certain if it has more than a share of them; its weight makes up for the chance.
 
 Defined results: without two classes to learn from, the trees give the class there is, or ``allow`` if there is none;
 repeated rows each get their own result; other columns are ignored.
@@ -22,6 +23,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.llm.common import broadcast_if_small, cut
+
 ALLOW, BLOCK = "allow", "block"
 #: The rules of the standard query: host and path, and the verdict.
 RULES = (("net/", BLOCK), ("example.net/en/", ALLOW), ("example.com/de/", BLOCK), ("org/fr/", ALLOW))
@@ -83,11 +86,13 @@ class Model:
     trees: list[list[tuple]] = field(default_factory=list)
     suffix: dict[str, float] = field(default_factory=dict)
 
-    def features(self, urls: list[str], hosts: list[str], paths: list[str]) -> np.ndarray:
+    def features(self, urls: list[str], hosts: list[str], paths: list[str], rates: list[tuple[float, float]] | None = None) -> np.ndarray:
+        """``rates`` are the suffix statistics of each url, by default those of ``suffix``."""
+        if rates is None:
+            rates = [tuple(self.suffix.get(name, self.prior) for name in suffixes(host)) for host in hosts]
         rows = []
-        for url, host, path in zip(urls, hosts, paths, strict=True):
-            last, two = suffixes(host)
-            rows.append([*lexical(url, host, path), self.suffix.get(last, self.prior), self.suffix.get(two, self.prior)])
+        for url, host, path, rate in zip(urls, hosts, paths, rates, strict=True):
+            rows.append([*lexical(url, host, path), *rate])
         return np.array(rows, float).reshape(len(rows), len(FEATURES))
 
     def margin(self, x: np.ndarray) -> np.ndarray:
@@ -126,40 +131,93 @@ def _grow(binned: np.ndarray, edges: list[np.ndarray], grad: np.ndarray, hess: n
     return place
 
 
-def fit(urls: list[str], hosts: list[str], paths: list[str], blocked: list[bool]) -> Model:
-    """Logistic boosting with histograms; the same rows in any order give the same trees up to rounding."""
+def _quantiles(values: np.ndarray, weights: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Lower quantiles of values that stand ``weights`` times each."""
+    order = np.argsort(values, kind="stable")
+    upto = np.cumsum(weights[order])
+    places = np.searchsorted(upto, np.floor(at * (upto[-1] - 1)), side="right")
+    return values[order][np.minimum(places, len(values) - 1)]
+
+
+def fit(
+    urls: list[str], hosts: list[str], paths: list[str], blocked: list[bool], weights: list[float] | None = None, rates: list[tuple[float, float]] | None = None, prior: float | None = None
+) -> Model:
+    """Logistic boosting with histograms; the same rows in any order give the same trees up to rounding.
+
+    ``rates`` and ``prior`` are statistics of more rows than these; by default they are counted on these.
+    """
     y = np.array(blocked, float)
-    model = Model(prior=float(y.mean()) if len(y) else 0.0)
+    w = np.ones(len(y)) if weights is None else np.array(weights, float)
+    model = Model(prior=prior if prior is not None else float((y * w).sum() / w.sum()) if len(y) else 0.0)
     if len(y) == 0 or y.min() == y.max():
         model.base = 1.0 if len(y) and y[0] else -1.0
         return model
-    seen: dict[str, list[float]] = {}
-    for host, b in zip(hosts, y, strict=True):
-        for name in set(suffixes(host)):
-            n = seen.setdefault(name, [0.0, 0.0])
-            n[0] += b
-            n[1] += 1
-    model.suffix = {k: (b + SMOOTHING * model.prior) / (n + SMOOTHING) for k, (b, n) in seen.items()}
-    x = model.features(urls, hosts, paths)
-    edges = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, BINS + 1)[1:-1], method="lower")) for f in range(x.shape[1])]
+    if rates is None:
+        seen: dict[str, list[float]] = {}
+        for host, b, weight in zip(hosts, y, w, strict=True):
+            for name in set(suffixes(host)):
+                n = seen.setdefault(name, [0.0, 0.0])
+                n[0] += b * weight
+                n[1] += weight
+        model.suffix = {k: (b + SMOOTHING * model.prior) / (n + SMOOTHING) for k, (b, n) in seen.items()}
+    x = model.features(urls, hosts, paths, rates)
+    edges = [np.unique(_quantiles(x[:, f], w, np.linspace(0, 1, BINS + 1)[1:-1])) for f in range(x.shape[1])]
     binned = np.stack([np.searchsorted(edges[f], x[:, f], side="left") for f in range(x.shape[1])], axis=1)
     model.base = float(np.log(model.prior / (1 - model.prior)))
     margin = np.full(len(y), model.base)
     for _ in range(TREES):
         p = 1 / (1 + np.exp(-margin))
         tree: list[tuple] = []
-        _grow(binned, edges, y - p, p * (1 - p), np.arange(len(y)), 0, tree)
+        _grow(binned, edges, w * (y - p), w * p * (1 - p), np.arange(len(y)), 0, tree)
         model.trees.append(tree)
         margin += Model(base=0.0, trees=[tree]).margin(x)
     return model
 
 
-def learn(labelled: DataFrame, max_rows: int = MAX_ROWS) -> Model:
-    """Trees from (url, host, path, blocked): of n rows, those whose hash is among the first ``max_rows`` / n of all hashes."""
-    n = labelled.count()
-    draw = F.conv(F.substring(F.md5("url"), 1, 8), 16, 10).cast("double") / float(2**32)
-    rows = labelled.filter(draw * n < 0.9 * max_rows).orderBy("url", "blocked").limit(max_rows).collect()
-    return fit([r["url"] for r in rows], [r["host"] for r in rows], [r["path"] for r in rows], [r["blocked"] for r in rows])
+def suffix_rates(labelled: DataFrame, prior: float) -> DataFrame:
+    """(name, rate): how often urls of each suffix are blocked, over all rows of (host, blocked)."""
+    names = labelled.select(F.explode(F.array_distinct(F.array(*_names(F.col("host"))))).alias("name"), F.col("blocked").cast("double").alias("b"))
+    return names.groupBy("name").agg(((F.sum("b") + SMOOTHING * prior) / (F.count("*") + SMOOTHING)).alias("rate"))
+
+
+def _names(host: Column) -> tuple[Column, Column]:
+    """The same as ``suffixes``."""
+    return F.substring_index(host, ".", -1), F.substring_index(host, ".", -2)
+
+
+def with_rates(df: DataFrame, rates: DataFrame, prior: float) -> DataFrame:
+    """``df``, which has a host, with ``last_rate`` and ``two_rate``; the prior where a suffix has no labelled url."""
+    last, two = _names(F.col("host"))
+    lasts = broadcast_if_small(rates.filter(~F.contains("name", F.lit("."))).select(F.col("name").alias("last_name"), F.col("rate").alias("last_rate")))
+    twos = broadcast_if_small(rates.select(F.col("name").alias("two_name"), F.col("rate").alias("two_rate")))
+    met = df.withColumn("last_name", last).withColumn("two_name", two).join(lasts, "last_name", "left").join(twos, "two_name", "left")
+    return met.drop("last_name", "two_name").fillna(prior, ["last_rate", "two_rate"])
+
+
+def sample(labelled: DataFrame, n: int, max_rows: int = MAX_ROWS) -> DataFrame:
+    """(url, host, path, n_blocked, n_rows, weight) of at most ``max_rows`` distinct urls out of ``n`` rows."""
+    share = min(1.0, 0.9 * max_rows / max(1, n))
+    seen = labelled.groupBy("url", "host", "path").agg(F.sum(F.col("blocked").cast("long")).alias("n_blocked"), F.count("*").alias("n_rows"))
+    hashed = seen.withColumn("hash", F.md5("url")).withColumn("expected", F.col("n_rows") * share)
+    draw = F.conv(F.substring("hash", 1, 8), 16, 10).cast("double") / float(2**32)
+    taken = hashed.filter((F.lit(share) == 1.0) | (draw < F.col("expected"))).withColumn("weight", F.greatest(F.lit(1.0), F.col("expected")))
+    return taken.orderBy(F.col("weight").desc(), "hash", "url").limit(max_rows).drop("hash", "expected")
+
+
+def learn(labelled: DataFrame, max_rows: int = MAX_ROWS) -> tuple[Model, DataFrame]:
+    """Trees from (url, host, path, blocked), and the rates of all suffixes in it."""
+    total = labelled.agg(F.count("*").alias("n"), F.sum(F.col("blocked").cast("long")).alias("b")).first()
+    prior = (total["b"] or 0) / max(1, total["n"])
+    rates = cut(suffix_rates(labelled, prior))
+    rows = []
+    for r in with_rates(sample(labelled, total["n"], max_rows), rates, prior).collect():
+        # A url with both labels is a row of each.
+        for blocked, n in ((True, r["n_blocked"]), (False, r["n_rows"] - r["n_blocked"])):
+            if n:
+                rows.append((r["url"], r["host"], r["path"], blocked, r["weight"] * n / r["n_rows"], (r["last_rate"], r["two_rate"])))
+    rows.sort(key=lambda r: (r[0], r[3]))
+    urls, hosts, paths, blocked, weights, of = (list(c) for c in zip(*rows, strict=True)) if rows else ([], [], [], [], [], [])
+    return fit(urls, hosts, paths, blocked, weights, of, prior), rates
 
 
 def judge(pages: DataFrame, page_id: str = "page_id", url: str = "url", rules: tuple[tuple[str, str], ...] = RULES, labelled: DataFrame | None = None, max_rows: int = MAX_ROWS) -> DataFrame:
@@ -174,12 +232,13 @@ def judge(pages: DataFrame, page_id: str = "page_id", url: str = "url", rules: t
         known = rows.filter(F.col("fits").isNotNull()).select(F.col("url_text").alias("url"), "host", "path", (F.col("fits.verdict") == BLOCK).alias("blocked"))
     else:
         known = labelled.select("url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "blocked").filter(F.col("url").isNotNull() & F.col("blocked").isNotNull())
-    model = learn(known, max_rows)
+    model, rates = learn(known, max_rows)
 
     @F.pandas_udf("double")
-    def margin(urls: pd.Series, hosts: pd.Series, paths: pd.Series) -> pd.Series:
-        return pd.Series(model.margin(model.features(urls.fillna("").tolist(), hosts.tolist(), paths.tolist())))
+    def margin(urls: pd.Series, hosts: pd.Series, paths: pd.Series, last: pd.Series, two: pd.Series) -> pd.Series:
+        return pd.Series(model.margin(model.features(urls.fillna("").tolist(), hosts.tolist(), paths.tolist(), list(zip(last, two, strict=True)))))
 
-    scored = rows.withColumn("block_score", F.round(1 / (1 + F.exp(-margin("url_text", "host", "path"))), 6))
+    rows = with_rates(rows, rates, model.prior)
+    scored = rows.withColumn("block_score", F.round(1 / (1 + F.exp(-margin("url_text", "host", "path", "last_rate", "two_rate"))), 6))
     by_trees = F.when(F.col("block_score") >= 0.5, BLOCK).otherwise(ALLOW)
     return scored.select(page_id, "host", "path", F.col("fits.rule").alias("rule"), F.coalesce(F.col("fits.verdict"), by_trees).alias("verdict"), "block_score")

@@ -67,3 +67,35 @@ def test_trees_learn_labelled_urls(spark):
     pages = spark.createDataFrame([(1, "http://new.example.com/982374982374"), (2, "http://new.example.com/abcabcabcabc")], SCHEMA)
     assert {r["page_id"]: r["verdict"] for r in judge(pages, rules=(), labelled=labelled).collect()} == {1: "block", 2: "allow"}
     assert urls.MAX_ROWS >= 1000
+
+
+LABELLED = "url string, blocked boolean"
+
+
+def test_suffix_statistics_count_all_labelled_rows(spark):
+    rows = [(f"http://s{i % 300:03}.com/{i:05}", bool(i % 300 % 2)) for i in range(6000)]
+    pages = spark.createDataFrame([(i, f"http://s{i:03}.com/99999") for i in range(300)], SCHEMA)
+    got = judge(pages, rules=(), labelled=spark.createDataFrame(rows, LABELLED), max_rows=200).collect()
+    assert {r["page_id"]: r["verdict"] for r in got} == {i: "block" if i % 2 else "allow" for i in range(300)}
+
+
+def test_sample_holds_a_hot_url_and_is_not_cut_by_name(spark):
+    hot = "http://a.com/hot"
+    rows = [(hot, i % 4 == 0) for i in range(2000)] + [(f"http://b{i:04}.com/", False) for i in range(4000)]
+    df = spark.createDataFrame(rows, LABELLED).selectExpr("*", "'h' as host", "'/' as path")
+    got = {r["url"]: r for r in urls.sample(df, len(rows), 300).collect()}
+    assert 100 < len(got) <= 300 and got[hot]["n_rows"] == 2000 and got[hot]["n_blocked"] == 500
+    assert 0.25 < got[hot]["weight"] / sum(r["weight"] for r in got.values()) < 0.42
+    places = [int(u[8:12]) for u in got if u != hot]
+    assert min(places) < 400 and max(places) > 3600 and 1600 < sum(places) / len(places) < 2400
+
+
+def test_small_tables_learn_from_every_row(spark):
+    rows = [(f"http://h{i % 7}.{'org' if i % 3 else 'net'}/{'x' * (i % 11)}?a={i % 5}", i % 3 == 0 or i % 11 > 8) for i in range(400)]
+    rows += [rows[5]] * 40 + [(rows[5][0], not rows[5][1])] * 9
+    hosts, paths = [plain(u)[0] for u, _ in rows], [plain(u)[1] for u, _ in rows]
+    model = fit([u for u, _ in rows], hosts, paths, [b for _, b in rows])
+    score = 1 / (1 + np.exp(-model.margin(model.features([u for u, _ in rows], hosts, paths))))
+    pages = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(rows)], SCHEMA)
+    got = judge(pages, rules=(), labelled=spark.createDataFrame(rows, LABELLED)).collect()
+    assert len(got) == len(rows) and max(abs(r["block_score"] - score[r["page_id"]]) for r in got) < 2e-6
