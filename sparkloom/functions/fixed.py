@@ -129,6 +129,19 @@ ASSETS = [
     (".mp3", "media"), (".wav", "media"), (".json", "data"), (".xml", "data"), (".csv", "data"), (".yml", "data"), (".yaml", "data"),
     (".wasm", "wasm"), (".map", "sourcemap"),
 ]
+# Page elements whose text is not shown, that break lines, that have no end, and styles that hide.
+SILENT_ELEMENTS = frozenset(("script", "style", "noscript", "svg", "template", "iframe"))
+BREAKING_ELEMENTS = frozenset(("p", "div", "section", "article", "li", "br", "tr", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre"))
+BREAKING_IF_VISIBLE = frozenset(("title", "head", "body"))
+VOID_ELEMENTS = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"))
+HIDING_STYLES = ("display:none", "visibility:hidden", "font-size:0", "opacity:0")
+HEADING_LEVELS = {"h1": 1, "h2": 2, "h3": 3, "h4": 4, "h5": 5, "h6": 6}
+CODE_ELEMENTS = frozenset(("pre", "code"))
+CODE_LEAST, CODE_MOST = 24, 4000
+DESCRIPTIONS = ("description", "og:description")
+# Blanks that become one blank, and blank lines that become one.
+BLANKS = r"[ \t\r\f\v]+"
+BLANK_LINES = r"\n\s*\n\s*\n+"
 # What marks a page as a shell that scripts fill.
 SHELL_MARKS = [r'id=["\']root["\']', r'id=["\']app["\']', r'id=["\']__next["\']', r"__NEXT_DATA__", r"window\.__NUXT__", r"ng-version=", r"window\.__remixContext", r'<div[^>]+id=["\'](?:mount|svelte)["\']']
 NOSCRIPT_ASK = r"(?is)<noscript[^>]*>.{0,400}?(?:enable|required|javascript|turn on)"

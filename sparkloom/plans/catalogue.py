@@ -16,11 +16,17 @@ for _name in ("documents", "web", "talk", "events", "graphs"):
     import_module(f"sparkloom.plans.{_name}")
 
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    page = html.pages(table(spark, sf_dir, "pages")).withColumn("page_text", F.col("page.text"))
+def page_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Title, language, words, links, trust score and verdict of each page."""
+    page = html.pages(table(spark, sf_dir, "pages"), fields=("title", "lang", "word_count", "links", "json_ld", "hidden", "text")).withColumn("page_text", F.col("page.text"))
     score = trust.trust_score(F.col("page_text"), F.size("page.hidden"), url.scheme(F.col("url")) == "https", structured=F.size("page.json_ld") > 0)
     shown = page.select("page_id", "url", F.col("page.title").alias("title"), F.col("page.lang").alias("lang"), F.col("page.word_count").alias("word_count"), F.size("page.links").alias("n_links"), score.alias("score"))
-    return shown.withColumn("verdict", trust.verdict(F.col("score"))).orderBy("score", "page_id")
+    return shown.withColumn("verdict", trust.verdict(F.col("score")))
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, least trusted first."""
+    return page_facts(spark, sf_dir).orderBy("score", "page_id")
 
 
 def queries() -> dict[str, Query]:
