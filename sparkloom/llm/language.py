@@ -26,10 +26,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.llm.common import small_batches
+
 DIMS, PER_LANG, SEED = 1024, 4000, "letters-1"
 UNKNOWN = "und"
 #: Characters read at once, and trigram vectors held at once.
-PIECE, BLOCK = 1_000_000, 4096
+PIECE, BLOCK = 300_000, 2048
 BLANK = 0x20
 
 
@@ -44,7 +46,7 @@ def _letters() -> np.ndarray:
     return np.where(is_letter, points, BLANK).astype(np.uint32)
 
 
-@functools.lru_cache(maxsize=1 << 16)
+@functools.lru_cache(maxsize=1 << 12)
 def _letter_vector(point: int, dims: int) -> np.ndarray:
     raw = hashlib.shake_256(f"{SEED}|{point}".encode()).digest(dims // 8)
     return (np.unpackbits(np.frombuffer(raw, np.uint8)).astype(np.int8) * 2 - 1).astype(np.int8)
@@ -116,6 +118,7 @@ def held_out(doc_id: Column) -> Column:
 
 def learn(df: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_lang: int = PER_LANG, dims: int = DIMS) -> dict[str, np.ndarray]:
     """Prototype of each language: one row of ``dims`` sums for each language reaches the driver."""
+    small_batches(df.sparkSession)
     rows = df.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").cast("string").alias("t"), F.col(f"`{lang}`").cast("string").alias("l"))
     rows = rows.filter(F.col("l").isNotNull() & F.col("t").isNotNull() & ~held_out(F.col("id")))
     sizes = rows.groupBy("l").count()
@@ -139,11 +142,12 @@ def learn(df: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
 
 def predict(df: DataFrame, prototypes: dict[str, np.ndarray], text: str = "text", out: str = "lang_pred", score: str = "score") -> DataFrame:
     """``df`` with the language and score of each text."""
+    small_batches(df.sparkSession)
     names = sorted(n for n, v in prototypes.items() if np.any(v))
     unit = np.stack([prototypes[n] / np.linalg.norm(prototypes[n]) for n in names]) if names else np.zeros((0, 1))
     dims = unit.shape[1]
 
-    @F.pandas_udf("l string, s double")
+    @F.pandas_udf("l string, s double")  # marked below, so that a filter on its result does not run it twice
     def best(texts: pd.Series) -> pd.DataFrame:
         langs, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
         for start in range(0, len(texts) if names else 0, 512):
@@ -156,7 +160,7 @@ def predict(df: DataFrame, prototypes: dict[str, np.ndarray], text: str = "text"
                     scores[start + i] = min(1.0, max(0.0, round(float(cosines[i, top]), 9)))
         return pd.DataFrame({"l": langs, "s": scores})
 
-    found = best(F.col(f"`{text}`").cast("string"))
+    found = best.asNondeterministic()(F.col(f"`{text}`").cast("string"))
     return df.withColumn("lang_found", found).withColumn(out, F.col("lang_found.l")).withColumn(score, F.col("lang_found.s")).drop("lang_found")
 
 
