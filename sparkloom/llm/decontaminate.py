@@ -13,11 +13,14 @@ bounded size, and are never shuffled; only those that meet a kept hash are teste
 
 Defined results: null texts and texts without words have no words, no hits and no items; repeated rows
 each get their own result; an item that occurs twice counts once; items with null ids are searched, count
-in ``n_hit``, but carry no id; an empty benchmark leaves every document clean; other columns are ignored.
+in ``n_hit``, but carry no id; an empty benchmark leaves every document clean; ties between equal k-grams keep all of
+them; very long texts take time and memory in proportion to their words; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,15 +52,21 @@ def _runs(hashes: Column, length: int) -> Column:
     )
 
 
-def _is_least(grams: Column, at: Column, span: int) -> Column:
-    """Whether the k-gram at ``at`` is the least of some ``span`` consecutive ones."""
-    starts = F.sequence(F.greatest(at - (span - 1), F.lit(0)), F.greatest(F.least(at, F.size(grams) - span), F.lit(0)))
-    return F.exists(starts, lambda j: F.array_min(F.slice(grams, j + 1, span)) == F.get(grams, at))
+def _is_least(grams: Column, at: Column, span: int, first: Column | int = 0, last: Column | None = None) -> Column:
+    """Whether the k-gram at ``at`` is the least of some ``span`` consecutive ones between ``first`` and ``last``.
+
+    Only single elements are read: a slice would copy the whole array each time.
+    """
+    last = F.size(grams) - 1 if last is None else last
+    own = F.get(grams, at)
+    fits = {d: F.coalesce((at + d >= first) & (at + d <= last) & (F.get(grams, at + d) >= own), F.lit(False)) for d in range(1 - span, span)}
+    windows = [functools.reduce(Column.__and__, [fits[d] for d in range(low, low + span)]) for low in range(1 - span, 1)]
+    return functools.reduce(Column.__or__, windows)
 
 
-def _spans(places: Column, n: Column) -> Column:
-    """The ``n`` words at each place of ``w``."""
-    return F.transform(places, lambda i: F.struct(i.alias("at"), n.alias("n"), F.array_join(F.slice(F.col("w"), i + 1, n), " ").alias("words")))
+def _words_at(at: Column, n: Column, most: int) -> Column:
+    """The ``n`` words of ``w`` at a place, at most ``most``."""
+    return F.concat_ws(" ", *[F.when(n > j, F.get("w", at + j)) for j in range(most)])
 
 
 def benchmark_windows(benchmark: DataFrame, item_id: str = "item_id", text: str = "text", window: int = WINDOW) -> DataFrame:
@@ -110,20 +119,18 @@ def decontaminate(
         first = F.when(F.col("at") >= start, start).otherwise(first)
         start = start + F.greatest(F.size("w") - (gram if length == window else length) + 1, F.lit(0))
     long = F.col("n") == window
-    span = window - gram + 1
     place = F.col("at") - F.col("first")
-    places = F.when(
-        long & (F.size("w") >= window) & _is_least(F.slice(F.col("g"), F.col("first") + 1, F.greatest(F.size("w") - gram + 1, F.lit(0))), place, span),
-        F.sequence(F.greatest(place - (span - 1), F.lit(0)), F.least(place, F.size("w") - window)),
-    ).when(~long, F.array(place))
+    least = _is_least(F.col("g"), F.col("at"), span, F.col("first"), F.col("first") + F.size("w") - gram)
+    places = F.when(long & (F.size("w") >= window) & least, F.sequence(F.greatest(place - (span - 1), F.lit(0)), F.least(place, F.size("w") - window))).when(~long, F.array(place))
     tried = None
     for i in range(slices):
         part = kept if slices == 1 else kept.filter(F.pmod("kept", F.lit(slices)) == i)
         met = grams.join(F.broadcast(part.select("kept", F.col("n").alias("of"))), "kept", "left").withColumn("n", n)
         met = met.filter((F.col("of") == F.col("n")) | (F.col("kept").isNull() if i == 0 else F.lit(False))).withColumn("first", first)
-        met = met.select("row", doc_id, F.size("w").cast("long").alias("n_words"), F.explode_outer(_spans(F.when(F.col("of").isNotNull(), places), F.col("n"))).alias("c"))
+        met = met.select("row", doc_id, "w", "n", F.explode_outer(F.when(F.col("of").isNotNull(), places)).alias("at"))
+        words = F.when(F.col("at").isNotNull(), _words_at(F.col("at"), F.col("n"), window))
+        met = met.select("row", doc_id, F.size("w").cast("long").alias("n_words"), "at", F.when(F.col("at").isNotNull(), F.col("n")).alias("n"), words.alias("words"))
         tried = met if tried is None else tried.union(met)
-    tried = tried.select("row", doc_id, "n_words", F.col("c.at").alias("at"), F.col("c.n").alias("n"), F.col("c.words").alias("words"))
 
     windows = F.broadcast(windows) if windows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else windows
     hits = tried.join(windows.withColumn("hit", F.lit(True)), ["n", "words"], "left")
