@@ -6,6 +6,8 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.functions import url
+
 
 def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(key, in_degree) with zeros, repeated links counted."""
@@ -71,3 +73,11 @@ def cycles(edges: DataFrame) -> DataFrame:
     mutual = reach.alias("a").join(reach.alias("b"), (F.col("a.src") == F.col("b.dst")) & (F.col("a.dst") == F.col("b.src"))).select("a.src", "a.dst")
     named = mutual.groupBy("src").agg(F.min("dst").alias("component"))
     return named.groupBy("component").agg(F.count("*").alias("size"), F.array_join(F.slice(F.array_sort(F.collect_list("src")), 1, 12), ",").alias("members"))
+
+
+def external_hosts(links: DataFrame, order: list[str], most: int = 40) -> DataFrame:
+    """(host, n) of links (src, dst) to another origin: of the hosts that come first in ``order``, at most ``most``."""
+    host = F.coalesce(F.nullif(url.host(F.col("dst")), F.lit("")), F.lit("?"))
+    rows = links.filter(~url.same_origin(F.col("src"), F.col("dst"))).withColumn("host", host)
+    first = rows.groupBy("host").agg(F.count("*").alias("n"), F.min(F.struct(*order)).alias("first"))
+    return first.orderBy("first").limit(most).select("host", "n")

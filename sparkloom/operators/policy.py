@@ -50,12 +50,16 @@ def sitemap_locations(xml: Column, most: int = 300) -> Column:
     return F.when(xml.rlike("(?i)<!ENTITY|<!DOCTYPE"), F.array().cast("array<string>")).otherwise(F.slice(kept, 1, most))
 
 
-def intent(body: Column) -> Column:
-    """The first intent one of whose words is a part of the text; parts of words count."""
+def intent(body: Column, name: str = "this bot") -> Column:
+    """The first intent one of whose words is a part of the text; parts of words count.
+
+    ``name`` is what the one who is talked to is called: asking what it is asks for its identity.
+    """
     t = F.regexp_replace(F.concat(F.lit(" "), F.lower(F.trim(F.coalesce(body, F.lit("")))), F.lit(" ")), r"\s+", " ")
     out = F.when(F.trim(t) == "", "unknown")
-    for name, words in fixed.INTENTS:
-        out = out.when(text.contains_any(t, words), name)
+    for kind, words in fixed.INTENTS:
+        own = [f"what is {name.lower()}"] if kind == "identity" else []
+        out = out.when(text.contains_any(t, [*words, *own]), kind)
     return out.when(F.rtrim(F.trim(t), F.lit("?! ")).isin(*fixed.GREETINGS), "greeting").when(text.contains_any(t, fixed.QUESTIONS), "code_q").otherwise("banter")
 
 

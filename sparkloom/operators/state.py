@@ -1,77 +1,119 @@
 """Stateful rules in batch: folds over each key's events in order.
 
-A key's events are folded in one row, so a key must fit in memory; streaming forms in ``sparkloom.streaming`` hold only
-the state. Rules whose state is one accepted event (cooldown) or two numbers (budget) are greedy: a refused event
-changes nothing, and later ones may still be accepted, so windows alone cannot state them.
+Events are dealt by key and sorted, and a fold walks over them batch by batch with the state of one key at a time, so a
+key may have any number of events. Rules whose state is one accepted event (cooldown) or two numbers (budget) are greedy:
+a refused event changes nothing, and later ones may still be accepted, so windows alone cannot state them. Streaming
+forms are in ``sparkloom.streaming``.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Sequence
+from decimal import Decimal
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 
-def _ordered(df: DataFrame, keys: list[str], *values: str) -> DataFrame:
-    return df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*values))).alias("events"))
+def folded(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: Sequence[str], start: Callable[[], list], step: Callable[[list, tuple], object], out: str) -> DataFrame:
+    """``df`` with one more column, ``out`` ("name type"): what ``step`` returns for each row's ``values``.
+
+    Each key's rows are taken in order, with a state that ``start`` makes and ``step`` changes. A null key is a key.
+    """
+    field = StructType.fromDDL(out).fields[0]
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind, own, state, begun = to_arrow_type(field.dataType), None, None, False
+        for batch in batches:
+            lists = [[batch.column(n).to_pylist() for n in names] for names in (keys, values)]
+            results = []
+            for i in range(batch.num_rows):
+                key = [x[i] for x in lists[0]]
+                if not begun or key != own:
+                    own, state, begun = key, start(), True
+                results.append(step(state, tuple(x[i] for x in lists[1])))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(results, kind)], [*batch.schema.names, field.name])
+
+    dealt = df.repartition(*keys).sortWithinPartitions(*keys, *order)
+    return dealt.mapInArrow(walk, StructType([*df.schema.fields, field]))
 
 
 def cooldown(df: DataFrame, keys: list[str], at: str, order: str, gap: float) -> DataFrame:
     """(keys, events, accepted): an event is accepted ``gap`` seconds or more after the last accepted one."""
-    rows = _ordered(df.select(*keys, F.col(at).cast("double").alias("t"), F.col(order).alias("o")), keys, "t", "o")
-    folded = F.aggregate(
-        "events",
-        F.struct(F.lit(None).cast("double").alias("last"), F.lit(0).cast("long").alias("n")),
-        lambda a, e: F.when(a["last"].isNull() | (e["t"] - a["last"] >= gap), F.struct(e["t"].alias("last"), (a["n"] + 1).alias("n"))).otherwise(a),
-        lambda a: a["n"],
-    )
-    return rows.select(*keys, F.size("events").cast("long").alias("events"), folded.alias("accepted"))
+
+    def step(last: list, row: tuple) -> bool:
+        if last[0] is not None and row[0] - last[0] < gap:
+            return False
+        last[0] = row[0]
+        return True
+
+    rows = df.select(*keys, F.col(at).cast("double").alias("t"), F.col(order).alias("o"))
+    passed = folded(rows, keys, ["t", "o"], ["t"], lambda: [None], step, "passed boolean")
+    return passed.groupBy(*keys).agg(F.count("*").alias("events"), F.count_if("passed").alias("accepted"))
 
 
 def spend(df: DataFrame, keys: list[str], order: str, price: str, each: float, total: float) -> DataFrame:
     """(keys, accepted, spent): a price is paid if it is at most ``each`` and still fits in ``total``."""
-    rows = _ordered(df.select(*keys, F.col(order).alias("o"), F.col(price).alias("p")), keys, "o", "p")
-    folded = F.aggregate(
-        "events",
-        F.struct(F.lit(0).cast("long").alias("n"), F.lit(0.0).cast("decimal(18,2)").alias("s")),
-        lambda a, e: F.when(
-            (e["p"] <= each) & (a["s"] + e["p"] <= total), F.struct((a["n"] + 1).alias("n"), (a["s"] + e["p"]).cast("decimal(18,2)").alias("s"))
-        ).otherwise(a),
-    )
-    return rows.select(*keys, folded["n"].alias("accepted"), folded["s"].cast("double").alias("spent"))
-
-
-def daily_budget(df: DataFrame, keys: list[str], at: str, order: str, most: int, gap: float) -> DataFrame:
-    """(keys, day, accepted): up to ``most`` a UTC day, each ``gap`` seconds or more after the last accepted."""
-    rows = df.select(*keys, F.col(at).cast("double").alias("t"), F.col(order).alias("o")).withColumn("day", F.floor(F.col("t") / 86400).cast("long"))
-    rows = _ordered(rows, [*keys, "day"], "t", "o")
-    folded = F.aggregate(
-        "events",
-        F.struct(F.lit(None).cast("double").alias("last"), F.lit(0).cast("long").alias("n")),
-        lambda a, e: F.when((a["n"] < most) & (a["last"].isNull() | (e["t"] - a["last"] >= gap)), F.struct(e["t"].alias("last"), (a["n"] + 1).alias("n"))).otherwise(a),
-        lambda a: a["n"],
-    )
-    return rows.select(*keys, "day", folded.alias("accepted"))
+
+    def step(spent: list, row: tuple) -> bool:
+        if row[0] is None or row[0] > each or spent[0] + row[0] > total:
+            return False
+        spent[0] += row[0]
+        return True
+
+    rows = df.select(*keys, F.col(order).alias("o"), F.col(price).cast("decimal(18,2)").alias("p"))
+    paid = folded(rows, keys, ["o", "p"], ["p"], lambda: [Decimal(0)], step, "paid boolean")
+    return paid.groupBy(*keys).agg(F.count_if("paid").alias("accepted"), F.sum(F.when(F.col("paid"), F.col("p")).otherwise(F.lit(0).cast("decimal(18,2)"))).cast("double").alias("spent"))
+
+
+def daily_budget(df: DataFrame, keys: list[str], at: str, order: list[str], most: int, gap: float, request: str | None = None) -> DataFrame:
+    """(keys, day, accepted): up to ``most`` requests a UTC day, each ``gap`` seconds or more after the last accepted.
+
+    Requests come in the given order; one whose clock runs back behind the last accepted is refused, and so is an id that
+    was accepted on its day. A new day begins without a last request.
+    """
+
+    def step(held: list, row: tuple) -> bool:
+        t, name = row
+        day, last, ids = held
+        if t is None or (day is not None and (t // 86400 < day or t < last)):
+            return False
+        if day is None or t // 86400 > day:
+            held[:] = day, last, ids = t // 86400, 0, []
+        if (name is not None and name in ids) or len(ids) >= most or (last and t - last < gap):
+            return False
+        held[1] = t
+        ids.append(name)
+        return True
+
+    name = F.col(request).cast("string") if request else F.lit(None).cast("string")
+    rows = df.select(*keys, F.col(at).cast("double").alias("t"), name.alias("r"), *[F.col(o).alias(f"o{i}") for i, o in enumerate(order)])
+    passed = folded(rows, keys, [f"o{i}" for i in range(len(order))], ["t", "r"], lambda: [None, 0, []], step, "passed boolean")
+    return passed.withColumn("day", F.floor(F.col("t") / 86400).cast("long")).groupBy(*keys, "day").agg(F.count_if("passed").alias("accepted"))
 
 
 def adaptive_limit(df: DataFrame, keys: list[str], order: list[str], kind: str, start: int = 6, top: int = 12) -> DataFrame:
     """(keys, limit, ok, throttled, errors) after all outcomes (ok, throttled, error): one more after five in a row, half when throttled."""
-    rows = _ordered(df.select(*keys, *order, F.col(kind).alias("k")), keys, *order, "k")
-    zero = F.struct(*[F.lit(v).alias(n) for n, v in (("limit", start), ("row", 0), ("ok", 0), ("throttled", 0), ("errors", 0))])
 
-    def step(a: Column, e: Column) -> Column:
-        good, slow = e["k"] == "ok", e["k"] == "throttled"
-        grows = good & (a["row"] + 1 >= 5) & (a["limit"] < top)
-        return F.struct(
-            F.when(grows, a["limit"] + 1).when(slow, F.greatest(F.lit(1), F.floor(a["limit"] / 2).cast("int"))).otherwise(a["limit"]).alias("limit"),
-            F.when(good & ~grows, a["row"] + 1).otherwise(0).alias("row"),
-            (a["ok"] + good.cast("int")).alias("ok"),
-            F.when(good, 0).when(slow, a["throttled"] + 1).otherwise(a["throttled"]).alias("throttled"),
-            (a["errors"] + (~good & ~slow).cast("int")).alias("errors"),
-        )
+    def step(held: list, row: tuple) -> dict[str, int]:
+        limit, streak, ok, slow, bad, n = held
+        if row[0] == "ok":
+            grows = streak + 1 >= 5 and limit < top
+            held[:] = limit + grows, 0 if grows else streak + 1, ok + 1, 0, bad, n + 1
+        elif row[0] == "throttled":
+            held[:] = max(1, limit // 2), 0, ok, slow + 1, bad, n + 1
+        else:
+            held[:] = limit, 0, ok, slow, bad + 1, n + 1
+        return {"n": held[5], "limit": held[0], "ok": held[2], "throttled": held[3], "errors": held[4]}
 
-    out = rows.withColumn("s", F.aggregate("events", zero, step))
-    return out.select(*keys, *[F.col(f"s.{n}").cast("long").alias(n) for n in ("limit", "ok", "throttled", "errors")])
+    rows = df.select(*keys, *order, F.col(kind).alias("k"))
+    stepped = folded(rows, keys, [*order, "k"], ["k"], lambda: [start, 0, 0, 0, 0, 0], step, "s struct<n:bigint,limit:bigint,ok:bigint,throttled:bigint,errors:bigint>")
+    last = stepped.groupBy(*keys).agg(F.max("s").alias("s"))
+    return last.select(*keys, "s.limit", "s.ok", "s.throttled", "s.errors")
 
 
 def retry_after(value: Column, now: Column) -> Column:
@@ -92,10 +134,13 @@ def fresh_until(cache_control: Column, expires: Column, stored: Column) -> Colum
 
 
 def cache_outcomes(df: DataFrame, key: str, at: str, order: str, ttl: float) -> DataFrame:
-    """``df`` with ``outcome``: the first request of a key misses; later ones hit while fresh, and else revalidate."""
-    w = Window.partitionBy(key).orderBy(at, order)
-    before = F.lag(F.col(at).cast("double")).over(w)
-    return df.withColumn("outcome", F.when(before.isNull(), "miss").when(F.col(at).cast("double") - before < ttl, "hit").otherwise("revalidated"))
+    """``df`` with ``outcome``: the first request of a key misses and stores; a later one hits until the stored time and
+    ``ttl``, and then revalidates. Neither a hit nor a revalidation makes it fresh again."""
+    first = df.groupBy(key).agg(F.min(F.struct(F.col(at).alias("at"), F.col(order).alias("o"))).alias("stored"))
+    rows = df.join(first, df[key].eqNullSafe(first[key])).drop(first[key])
+    age = F.col(at).cast("double") - F.col("stored.at").cast("double")
+    missed = (F.col(at) == F.col("stored.at")) & (F.col(order) == F.col("stored.o"))
+    return rows.withColumn("outcome", F.when(missed, "miss").when(age < ttl, "hit").otherwise("revalidated")).drop("stored")
 
 
 def first_use(df: DataFrame, token: str, *order: str) -> DataFrame:

@@ -25,13 +25,18 @@ def evt_cooldown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.cooldown(_events(spark, sf_dir), ["user_id"], "ts", "event_id", GAP)
 
 
-@query("""WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts) / 1000000.0 AS t, (epoch_us(ts) // 86400000000) AS day, row_number() OVER (PARTITION BY user_id, epoch_us(ts) // 86400000000 ORDER BY ts, event_id) AS n FROM events),
-  f AS (SELECT user_id, day, n, t AS last, 1 AS accepted FROM e WHERE n = 1
-    UNION ALL SELECT e.user_id, e.day, e.n, CASE WHEN e.t - f.last >= 3600 AND f.accepted < 2 THEN e.t ELSE f.last END, f.accepted + CASE WHEN e.t - f.last >= 3600 AND f.accepted < 2 THEN 1 ELSE 0 END
-    FROM f JOIN e ON e.user_id = f.user_id AND e.day = f.day AND e.n = f.n + 1)
-  SELECT user_id, day::BIGINT AS day, max(accepted)::BIGINT AS accepted FROM f GROUP BY user_id, day""")
+#: Requests in order of their ids, so that the clock often runs back; four events share an id.
+@query("""WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts) / 1000000.0 AS t, epoch_us(ts) // 86400000000 AS day, CAST(event_id // 4 % 50 AS VARCHAR) AS r, row_number() OVER (PARTITION BY user_id ORDER BY event_type, event_id) AS n FROM events),
+  f AS (SELECT user_id, 0::BIGINT AS n, NULL::BIGINT AS day, 0.0::DOUBLE AS last, []::VARCHAR[] AS ids, NULL::BIGINT AS on_day, false AS ok FROM (SELECT DISTINCT user_id FROM events)
+    UNION ALL SELECT user_id, n, CASE WHEN back THEN day ELSE today END, CASE WHEN ok THEN t WHEN back THEN last ELSE since END, CASE WHEN ok THEN list_append(held, r) WHEN back THEN ids ELSE held END, today, ok FROM (
+      SELECT *, NOT back AND NOT list_contains(held, r) AND len(held) < 3 AND NOT (since > 0 AND t - since < 3600) AS ok FROM (
+        SELECT e.user_id, e.n, e.t, e.r, e.day AS today, f.day, f.last, f.ids, f.day IS NOT NULL AND (e.day < f.day OR e.t < f.last) AS back,
+          CASE WHEN f.day IS NULL OR e.day > f.day THEN []::VARCHAR[] ELSE f.ids END AS held, CASE WHEN f.day IS NULL OR e.day > f.day THEN 0.0 ELSE f.last END AS since
+        FROM f JOIN e ON e.user_id = f.user_id AND e.n = f.n + 1)))
+  SELECT user_id, on_day AS day, count(*) FILTER (ok)::BIGINT AS accepted FROM f WHERE n > 0 GROUP BY user_id, on_day""")
 def evt_daily_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return state.daily_budget(_events(spark, sf_dir), ["user_id"], "ts", "event_id", 2, 3600)
+    rows = _events(spark, sf_dir).withColumn("r", F.floor(F.col("event_id") / 4) % 50)
+    return state.daily_budget(rows, ["user_id"], "ts", ["event_type", "event_id"], 3, 3600, "r")
 
 
 @query("""WITH RECURSIVE o AS (SELECT o_custkey, CAST(o_totalprice AS DECIMAL(18,2)) AS p, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders),
@@ -55,12 +60,15 @@ def evt_aimd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.adaptive_limit(_events(spark, sf_dir).withColumn("kind", kind), ["user_id"], ["ts", "event_id"], "kind")
 
 
-@query("""WITH e AS (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events)
-  SELECT user_id, count(*) FILTER (before IS NOT NULL AND epoch_us(ts) - epoch_us(before) < 3600000000)::BIGINT AS hits, count(*) FILTER (before IS NOT NULL AND epoch_us(ts) - epoch_us(before) >= 3600000000)::BIGINT AS revalidated,
-    count(*) FILTER (before IS NULL)::BIGINT AS misses FROM e GROUP BY user_id""")
+@query("""WITH s AS (SELECT user_id, min((ts, event_id)) AS stored, min(ts) AS since FROM events GROUP BY user_id),
+  o AS (SELECT e.user_id, event_type, CASE WHEN (e.ts, e.event_id) = stored THEN 'miss' WHEN epoch_us(e.ts) < epoch_us(since) + 36000000000 THEN 'hit' ELSE 'revalidated' END AS outcome FROM events e JOIN s USING (user_id))
+  SELECT user_id, count(*) FILTER (outcome = 'hit')::BIGINT AS hits, count(*) FILTER (outcome = 'revalidated')::BIGINT AS revalidated, count(*) FILTER (outcome = 'miss')::BIGINT AS misses, count(*) FILTER (outcome = 'miss')::BIGINT AS stores,
+    coalesce(sum(length(event_type)) FILTER (outcome <> 'miss'), 0)::BIGINT AS bytes_saved FROM o GROUP BY user_id""")
 def evt_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = state.cache_outcomes(_events(spark, sf_dir), "user_id", "ts", "event_id", 3600.0)
-    return rows.groupBy("user_id").agg(F.count_if(F.col("outcome") == "hit").alias("hits"), F.count_if(F.col("outcome") == "revalidated").alias("revalidated"), F.count_if(F.col("outcome") == "miss").alias("misses"))
+    rows = state.cache_outcomes(_events(spark, sf_dir), "user_id", "ts", "event_id", 36_000.0)
+    is_ = lambda name: F.count_if(F.col("outcome") == name)
+    saved = F.coalesce(F.sum(F.when(F.col("outcome") != "miss", F.length("event_type"))), F.lit(0)).cast("long")
+    return rows.groupBy("user_id").agg(is_("hit").alias("hits"), is_("revalidated").alias("revalidated"), is_("miss").alias("misses"), is_("miss").alias("stores"), saved.alias("bytes_saved"))
 
 
 @query("""SELECT event_type, count(*) FILTER (n = 1)::BIGINT AS first_uses, count(*) FILTER (n > 1)::BIGINT AS replays

@@ -65,8 +65,11 @@ def g_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.cycles(spark.createDataFrame(LINKS, "src string, dst string"))
 
 
-@query("""SELECT host, count(*)::BIGINT AS n FROM (SELECT lower(regexp_extract(url, '://([^/?#]*)', 1)) AS host FROM pages) GROUP BY host ORDER BY n DESC, host LIMIT 40""")
+#: A link from each page to one of 97 hosts, and from every third page to its own origin.
+@query("""WITH l AS (SELECT page_id, concat('h', (page_id * 7919) % 97, '.example') AS host FROM pages WHERE page_id % 3 <> 0),
+  h AS (SELECT host, count(*)::BIGINT AS n, min(page_id) AS first FROM l GROUP BY host), k AS (SELECT host, n, row_number() OVER (ORDER BY first) AS place FROM h) SELECT host, n FROM k WHERE place <= 40""")
 def page_external_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from sparkloom.functions import url
-
-    return table(spark, sf_dir, "pages").groupBy(url.host(F.col("url")).alias("host")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "host").limit(40)
+    page = F.col("page_id")
+    out = F.concat(F.lit("https://h"), ((page * 7919) % 97).cast("string"), F.lit(".example/"))
+    links = table(spark, sf_dir, "pages").select("page_id", F.col("url").alias("src"), F.when(page % 3 == 0, F.concat("url", F.lit("?own"))).otherwise(out).alias("dst"))
+    return graph.external_hosts(links, ["page_id"])

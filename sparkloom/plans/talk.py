@@ -15,7 +15,7 @@ SAMPLES = [
     (9200001, 0, "GM everyone"), (9200002, 0, "hello!?"), (9200003, 0, "how do i fix the fragment"), (9200004, 0, "  "), (9200005, 0, "what is the price"), (9200006, 0, "who are you"),
     (9200007, 0, "my old modem"), (9200008, 0, "/crawl https://a.example 3"), (9200009, 0, "/crawl https://a.example 9"), (9200010, 0, "/crawl"), (9200011, 0, "/audit@bot https://x"),
     (9200012, 0, "/help me"), (9200013, 0, "/nope"), (9200014, 0, "/sigil " + "w" * 201), (9200015, 0, "/sigil some words"), (9200016, 0, "/audit a b"), (9200017, 0, "/start pay-load_1 x"),
-    (9200018, 0, "One sentence here that is long enough. " * 30), (9200019, 0, "l1\nl2\nl3\nl4\nl5\nl6\nl7"), (9200020, 0, "see https://x"), (9200021, 0, "x" * 800), (9200022, 0, "/crawl https://a.example x"), (9200023, 0, ""),
+    (9200018, 0, "One sentence here that is long enough. " * 30), (9200019, 0, "l1\nl2\nl3\nl4\nl5\nl6\nl7"), (9200020, 0, "see https://x"), (9200021, 0, "x" * 800), (9200022, 0, "/crawl https://a.example x"), (9200023, 0, ""), (9200024, 0, "what is This Bot"),
 ]
 TALK_SQL = f"(SELECT conv_id, turn, text FROM conversations UNION ALL SELECT * FROM (VALUES {_literal(SAMPLES)}) AS lit(conv_id, turn, text))"
 
@@ -28,7 +28,7 @@ def _any_sql(column: str, words: list[str]) -> str:
     return "(" + " OR ".join(f"contains({column}, '{w.replace(chr(39), chr(39) * 2)}')" for w in words) + ")"
 
 
-@query(f"""SELECT conv_id, turn, CASE WHEN trim(t) = '' THEN 'unknown' {' '.join(f"WHEN {_any_sql('t', w)} THEN '{n}'" for n, w in fixed.INTENTS)}
+@query(f"""SELECT conv_id, turn, CASE WHEN trim(t) = '' THEN 'unknown' {' '.join(f"WHEN {_any_sql('t', [*w, *(['what is this bot'] if n == 'identity' else [])])} THEN '{n}'" for n, w in fixed.INTENTS)}
   WHEN rtrim(trim(t), '?! ') IN ({', '.join(f"'{g}'" for g in fixed.GREETINGS)}) THEN 'greeting' WHEN {_any_sql('t', fixed.QUESTIONS)} THEN 'code_q' ELSE 'banter' END AS intent
   FROM (SELECT conv_id, turn, regexp_replace(concat(' ', lower(trim(text)), ' '), '[ \\t\\n\\r\\f]+', ' ', 'g') AS t FROM {TALK_SQL})""")
 def conv_intent(spark: SparkSession, sf_dir: str) -> DataFrame:

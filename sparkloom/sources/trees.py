@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 import tarfile
 import zipfile
 from collections.abc import Iterator
@@ -11,19 +12,25 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.functions import text
+from sparkloom.functions import fixed, text
 
-# Directories that scans never enter.
-SKIPPED = (".git", "node_modules", ".next", "dist", "build", "__pycache__", ".venv", "venv", ".venv-ml", "vendor", "target", ".cache", "site-packages")
-CODE = ("py", "ts", "tsx", "js", "jsx", "mjs", "cjs", "sol", "go", "rs", "java", "rb", "php", "sh", "yml", "yaml", "json", "toml", "env", "sql", "c", "cpp", "h", "cs", "kt")
+def files(spark: SparkSession, root: str, kinds: tuple[str, ...] = fixed.AUDIT_ENDS, most_bytes: int = 2_000_000, most_files: int = 5_000) -> DataFrame:
+    """(path, body, size) of the files below ``root`` with one of the extensions, the first ``most_files`` by path.
 
-
-def files(spark: SparkSession, root: str, kinds: tuple[str, ...] = CODE, most_bytes: int = 2_000_000) -> DataFrame:
-    """(path, body, size) of the files below ``root`` with one of the extensions; sizes are filtered before bodies are read."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{" + ",".join(kinds) + "}").load(root)
-    relative = F.regexp_replace("path", "^.*?" + root.rstrip("/").replace(".", r"\.") + "/", "")
-    kept = found.filter(F.col("length") <= most_bytes).select(relative.alias("path"), F.decode("content", "UTF-8").alias("body"), F.col("length").alias("size"))
-    return kept.filter(~F.exists(F.split("path", "/"), lambda p: p.isin(*SKIPPED) | p.startswith(".venv")))
+    Paths and sizes are listed first, without bodies; only files that are kept are read. Bytes that are no UTF-8 become
+    the replacement character.
+    """
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{" + ",".join(kinds) + "}")
+    top = re.escape(root.split(":", 1)[-1].rstrip("/")).replace("/", "/+")
+    relative = F.regexp_replace("path", f"^.*?{top}/+", "")
+    dirs = F.split(relative, "/")
+    entered = ~F.exists(dirs, lambda p: p.isin(*fixed.AUDIT_SKIPPED) | p.startswith(".venv"))
+    listed = reader.load(root).select("path", "length").filter((F.col("length") <= most_bytes) & entered)
+    chosen = [r["path"] for r in listed.orderBy("path").limit(most_files).collect()]
+    if not chosen:
+        return spark.createDataFrame([], "path string, body string, size long")
+    found = spark.read.format("binaryFile").load(chosen)
+    return found.select(relative.alias("path"), F.make_valid_utf8(F.col("content").cast("string")).alias("body"), F.col("length").alias("size"))
 
 
 def safe_member(path: Column) -> Column:
@@ -31,10 +38,11 @@ def safe_member(path: Column) -> Column:
     return (path != "") & ~path.startswith("/") & ~path.rlike(r"\\|^[A-Za-z]:") & ~F.exists(F.split(path, "/"), lambda p: p == "..")
 
 
-def members(archives: DataFrame, name: str, body: str, most_bytes: int = 300_000, total: int = 24_000_000, count: int = 1500) -> DataFrame:
+def members(archives: DataFrame, name: str, body: str, most_bytes: int = 300_000, total: int = 24_000_000, count: int = 1500, unwrap: bool = False) -> DataFrame:
     """(archive, path, data) of the regular files in tar.gz and zip archives, up to the bounds of each archive.
 
-    Links, unsafe paths and skipped directories are left out; sizes are those read, not those declared.
+    Links, unsafe paths and skipped directories are left out; sizes are those read, not those declared. ``unwrap`` drops
+    the one directory that holds all that a tar.gz has, and files beside it.
     """
 
     def walk(data: bytes) -> Iterator[tuple[str, bytes]]:
@@ -58,13 +66,14 @@ def members(archives: DataFrame, name: str, body: str, most_bytes: int = 300_000
                 try:
                     for path, content in walk(bytes(data or b"")):
                         parts = path.replace("\\", "/").split("/")
-                        bad = path.startswith("/") or ".." in parts or any(p in SKIPPED for p in parts)
+                        bad = path.startswith("/") or ".." in parts or any(p in fixed.AUDIT_SKIPPED for p in parts)
+                        bad = bad or (unwrap and data[:2] == b"\x1f\x8b" and len(parts) < 2)
                         if bad or len(content) > most_bytes:
                             continue
                         if used + len(content) > total or kept >= count:
                             break
                         used, kept = used + len(content), kept + 1
-                        out.append((own, path, content))
+                        out.append((own, "/".join(parts[1:]) if unwrap and data[:2] == b"\x1f\x8b" else path, content))
                 except (tarfile.TarError, zipfile.BadZipFile, EOFError, OSError):
                     continue
             yield pd.DataFrame(out, columns=["archive", "path", "data"])
