@@ -14,18 +14,25 @@ speaks of examples 0.2 less; spans of at least ``LEAST_SCORE`` are kept. Positio
 
 Matches are leftmost and do not overlap within a kind; one that fails its check is dropped and not tried
 again in another shape. Of IBANs the expression only finds where one may begin, at every such place; the end
-follows from the country's length, and for countries without one is that of the longest run. The expressions are written so that no text takes more than linear time or a deep
-stack: where a run can start a match only at its first character, a look-behind says so.
+follows from the country's length, and for countries without one is that of the longest run. The expressions are written
+so that no text takes more than linear time or a deep stack: where a run can start a match only at its first character, a
+look-behind says so. Places of n spans are found in n log n steps; contexts are read from pieces of the text.
 
-Defined results: a null text is an empty one; a text without personal data has empty lists; repeated rows
-each get their own result; other columns are ignored.
+Defined results: a null text is an empty one; a text without personal data has empty lists; repeated rows each get their
+own result; an empty table gives an empty one; ties in score change nothing, as spans are ordered by place; very long texts
+and those of many spans take time nearly in proportion; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.llm.common import free_name
+
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("iban", "ssn")
 #: What proposes a span of each kind.
@@ -39,6 +46,7 @@ PATTERNS = {
 }
 #: A character that every match of the kind has, for a cheap first look.
 NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+", "iban": None, "ssn": "-"}
+LOOKS = {"iban": "[A-Z]{2}[0-9]{2}", "card": r"[0-9][\x20-]?[0-9]"}
 #: Words that speak for a kind, and words that speak against any.
 CONTEXT = {
     "email": "mail|contact|write to|reply",
@@ -58,6 +66,9 @@ IBAN_LENGTHS = {
 }
 #: What stands between matches once they are marked. A NUL of the text is first made another control.
 MARK = "\x00"
+#: Characters of a piece of text, which is longer than any context or IBAN.
+PIECE = 64
+SPAN = "struct<kind:string,start:int,end:int,match:string>"
 
 
 def luhn(digits: Column) -> Column:
@@ -99,30 +110,51 @@ def _passes(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _upto(values: Column, combine: Callable[[Column, Column], Column]) -> Column:
+    """For each place, all values up to it combined: in doubling steps, as a fold would copy what it holds for each value."""
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(F.size(values), F.lit(1)).cast("double"))).cast("int"))
+    back = lambda sums, i, k: F.get(sums, i - F.pow(F.lit(2), k).cast("int"))
+    return F.aggregate(steps, values, lambda sums, k: F.transform(sums, lambda x, i: F.coalesce(combine(x, back(sums, i, k)), x)))
+
+
 def _proposed(text: Column, kind: str) -> Column:
-    """Array of (kind, start, end, match) of the expression's matches: marked, split, and measured."""
+    """Array of (kind, start, end, match) of the expression's matches: marked, split, and measured. Every second part is one."""
     parts = F.split(F.regexp_replace(text, f"({PATTERNS[kind]})", f"{MARK}$1{MARK}"), MARK)
-    walked = F.aggregate(
-        parts,
-        F.struct(F.lit(0).alias("at"), F.lit(False).alias("inside"), F.array().cast("array<struct<kind:string,start:int,end:int,match:string>>").alias("out")),
-        lambda acc, part: F.struct(
-            (acc["at"] + F.length(part)).alias("at"),
-            (~acc["inside"]).alias("inside"),
-            F.when(
-                acc["inside"], F.array_append(acc["out"], F.struct(F.lit(kind).alias("kind"), acc["at"].alias("start"), (acc["at"] + F.length(part)).alias("end"), part.alias("match")))
-            ).otherwise(acc["out"]).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
-    return walked
+    held = F.transform(F.array(parts), lambda p: F.struct(p.alias("parts"), _upto(F.transform(p, lambda x: F.length(x)), Column.__add__).alias("ends")))
+
+    def spans(x: Column) -> Column:
+        places = F.when(F.size(x["parts"]) > 1, F.sequence(F.lit(1), F.size(x["parts"]) - 1, F.lit(2))).otherwise(F.array().cast("array<int>"))
+        part = lambda i: F.get(x["parts"], i)
+        return F.transform(
+            places, lambda i: F.struct(F.lit(kind).alias("kind"), F.get(x["ends"], i - 1).alias("start"), F.get(x["ends"], i).alias("end"), part(i).alias("match"))
+        )
+
+    return F.get(F.transform(held, spans), F.lit(0))
 
 
-def _ibans(text: Column, heads: Column) -> Column:
+def _pieces(text: Column) -> Column:
+    """The text in pieces of ``PIECE`` characters, from which a few can be read without walking over all before them."""
+    return F.split(F.regexp_replace(text, f"(?s)(.{{{PIECE}}})", f"$1{MARK}"), MARK)
+
+
+def _read(pieces: Column, start: Column, n: Column | int) -> Column:
+    """Up to ``n`` characters from ``start`` on, at most ``PIECE``."""
+    at = F.floor(start / PIECE).cast("int")
+    both = F.concat(F.coalesce(F.get(pieces, at), F.lit("")), F.coalesce(F.get(pieces, at + 1), F.lit("")))
+    return F.substr(both, start % PIECE + 1, n if isinstance(n, Column) else F.lit(n))
+
+
+def _ibans(pieces: Column, heads: Column) -> Column:
     """The IBANs that begin at ``heads``, leftmost first: in groups of four with or without blanks, up to a word's end."""
 
     def read(head: Column) -> Column:
         # One character more than the longest match, so that the end of this part is not taken for a word's end.
-        ahead = F.substr(text, head["start"] + 1, F.lit(44))
+        ahead = _read(pieces, head["start"], 44)
         country, shape = F.substr(ahead, F.lit(1), F.lit(2)), F.lit(r"^[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?\b")
         for n, names in IBAN_LENGTHS.items():
             groups, rest = divmod(n - 4, 4)
@@ -134,6 +166,8 @@ def _ibans(text: Column, heads: Column) -> Column:
     def listed(span: Column) -> Column:
         return F.substr(span["match"], F.lit(1), F.lit(2)).isin(*" ".join(IBAN_LENGTHS.values()).split())
 
+    none = F.array().cast(f"array<{SPAN}>")
+
     def add(out: Column, s: Column) -> Column:
         last = F.element_at(out, -1)
         clear = F.when(F.size(out) > 0, last["end"] <= s["start"]).otherwise(True)
@@ -141,13 +175,25 @@ def _ibans(text: Column, heads: Column) -> Column:
         better = F.when(~clear, ~listed(last) & listed(s)).otherwise(False)
         return F.when(clear, F.array_append(out, s)).when(better, F.array_append(F.slice(out, F.lit(1), F.size(out) - 1), s)).otherwise(out)
 
+    def settled(x: Column) -> Column:
+        """Spans that overlap none before them begin groups of their own; only groups of several are folded."""
+        spans, reach = x["spans"], x["reach"]
+        firsts = F.filter(F.sequence(F.lit(0), F.size(spans) - 1), lambda i: F.coalesce(F.get(reach, i - 1) <= F.get(spans, i)["start"], F.lit(True)))
+
+        def groups(f: Column) -> Column:
+            group = lambda i, n: F.transform(F.sequence(i, F.coalesce(F.get(f, n + 1), F.size(spans)) - 1), lambda j: F.get(spans, j))
+            return F.flatten(F.transform(f, lambda i, n: _let(group(i, n), lambda g: F.when(F.size(g) == 1, g).otherwise(F.aggregate(g, none, add)))))
+
+        return F.when(F.size(spans) > 0, _let(firsts, groups)).otherwise(none)
+
     passed = F.filter(F.transform(heads, read), lambda s: F.when(s["match"].isNotNull(), _passes("iban", s["match"])).otherwise(False))
-    return F.aggregate(passed, F.array().cast("array<struct<kind:string,start:int,end:int,match:string>>"), add)
+    with_reach = lambda p: F.struct(p.alias("spans"), _upto(F.transform(p, lambda s: s["end"]), F.greatest).alias("reach"))
+    return _let(_let(passed, with_reach), settled)
 
 
-def _score(text: Column, kind: str, span: Column) -> Column:
+def _score(pieces: Column, kind: str, span: Column) -> Column:
     begin = F.greatest(span["start"] - NEAR, F.lit(0))
-    around = F.lower(F.concat(F.substr(text, begin + 1, span["start"] - begin), F.lit(" "), F.substr(text, span["end"] + 1, F.lit(NEAR))))
+    around = F.lower(F.concat(_read(pieces, begin, span["start"] - begin), F.lit(" "), _read(pieces, span["end"], NEAR)))
     checked = 0.4 if kind in ("card", "iban", "ip") else 0.0
     near = F.when(around.rlike(rf"\b(?:{CONTEXT[kind]})\b"), 0.3).otherwise(0.0)
     return F.round(F.lit(0.4 + checked) + near - F.when(around.rlike(rf"\b(?:{AGAINST})"), 0.2).otherwise(0.0), 2)
@@ -156,27 +202,22 @@ def _score(text: Column, kind: str, span: Column) -> Column:
 def find_pii(df: DataFrame, text: str = "text", out: str = "pii") -> DataFrame:
     """``df`` with ``out``: an array of (kind, start, end, score), by kind as listed above, then start."""
     own = F.translate(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")), MARK, "\x01")
-    work = df.withColumn(f"{out}_text", own)
-    t = F.col(f"{out}_text")
+    text_name, pieces_name = free_name(df, f"{out}_text"), free_name(df, f"{out}_pieces")
+    names = {kind: free_name(df, f"{out}_{kind}") for kind in BASE + ADDED}
+    work = df.withColumn(text_name, own)
+    t, pieces = F.col(text_name), F.col(pieces_name)
     none = F.array().cast("array<struct<kind:string,start:int,end:int,score:double>>")
-    names = []
-    for kind in BASE + ADDED:
-        likely = F.contains(t, F.lit(NEEDS[kind])) if NEEDS[kind] else F.lit(True)
-        if kind in ("iban", "card"):
-            likely = t.rlike("[A-Z]{2}[0-9]{2}" if kind == "iban" else r"[0-9][\x20-]?[0-9]")
-        name = f"{out}_{kind}"
-        spans = _proposed(t, kind)
-        work = work.withColumn(name, F.when(likely, _ibans(t, spans) if kind == "iban" else spans))
-        names.append(name)
-    kept = []
-    for kind, name in zip(BASE + ADDED, names, strict=True):
-        kept.append(F.coalesce(_kept(t, kind, F.col(name)), none))
-    return work.withColumn(out, F.concat(*kept)).drop(f"{out}_text", *names)
-
-
-def _kept(text: Column, kind: str, spans: Column) -> Column:
+    likely = {kind: F.contains(t, F.lit(NEEDS[kind])) if NEEDS[kind] else t.rlike(LOOKS[kind]) for kind in names}
+    work = work.withColumns({name: F.when(likely[kind], _proposed(t, kind)) for kind, name in names.items()})
+    work = work.withColumn(pieces_name, F.when(functools.reduce(Column.__or__, [F.coalesce(F.size(n) > 0, F.lit(False)) for n in names.values()]), _pieces(t)))
+    work = work.withColumn(names["iban"], F.when(F.size(names["iban"]) > 0, _ibans(pieces, F.col(names["iban"]))))
+    kept = [F.coalesce(_kept(pieces, kind, F.col(name)), none) for kind, name in names.items()]
+    return work.withColumn(out, F.concat(*kept)).drop(text_name, pieces_name, *names.values())
+
+
+def _kept(pieces: Column, kind: str, spans: Column) -> Column:
     passed = F.filter(spans, lambda s: _passes(kind, s["match"]))
-    scored = F.transform(passed, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), _score(text, kind, s).alias("score")))
+    scored = F.transform(passed, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), _score(pieces, kind, s).alias("score")))
     return scored if kind in BASE else F.filter(scored, lambda s: s["score"] >= LEAST_SCORE)
 
 
