@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import tempfile
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of a few longs that may be broadcast; beyond it the join shuffles.
-BROADCAST_ROWS = 200_000
-
-
+#: Rows and bytes that may be broadcast; beyond either the join shuffles.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32_000_000
 #: Texts that a Python worker gets at once, at most.
 BATCH = 1_000
 
@@ -22,12 +21,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """The same rows, kept in the shared checkpoint folder, so a lost executor costs no recomputation.
 
-    The folder is the one the session names in ``spark.checkpoint.dir``; a folder of our own is set
-    only where the session names none, as on a developer's machine.
+    The folder is the one the session names in ``spark.checkpoint.dir``; a folder of our own is set only where the session
+    names none and runs on one machine, as in tests. A cluster without a shared folder is an error.
     """
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         named = context.getConf().get("spark.checkpoint.dir")
+        if not named and not (context.master == "local" or context.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="sparkloom-"))
     return df.checkpoint(eager=True)
 
@@ -39,12 +40,15 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH))
 
 
-def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``limit`` rows; else unhinted, to be shuffled.
+def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS, most: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``limit`` rows of at most ``most`` bytes; else unhinted, to be shuffled.
 
-    The count stops at ``limit`` + 1 rows, so checking costs little whatever the size.
+    At most ``limit`` + 1 rows are looked at, so checking costs little whatever the size.
     """
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+    wide = {"string": F.octet_length, "binary": F.octet_length}
+    each = [F.coalesce(wide[kind](c), F.lit(0)) if kind in wide else F.coalesce(F.size(c), F.lit(0)) * 24 if kind.startswith(("array", "map")) else F.lit(16) for c, kind in df.dtypes]
+    n, size = df.limit(limit + 1).agg(F.count("*"), F.sum(reduce(Column.__add__, each).cast("long"))).first()
+    return F.broadcast(df) if n <= limit and (size or 0) <= most else df
 
 
 def utf8_bytes(text: Column) -> Column:

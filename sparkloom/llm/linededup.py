@@ -15,9 +15,13 @@ Of a chunk of at least two lines that stands in more than one place, the first p
 the text) keeps it and the others lose it. Chunks with equal hashes are held to be equal only if their bytes are: the
 least and the greatest text of a hash are compared, and where they differ, the hash is split by text.
 
+A row is known by its id and its text, not by its place, so passes over the input agree however it is split or read again.
+Rows that repeat both are one row: one of the copies keeps what that row keeps, and the others lose every line if they have
+two or more.
+
 Defined results: null texts have no lines and stay null; an empty text is one empty line; a text all of whose chunks are
-removed becomes empty; rows with null ids come last; repeated rows are places of their own, and the first of them in the
-order of their ids and texts keeps its chunks; other columns are ignored.
+removed becomes empty; rows with null ids come last; ties between rows of one id go to the lesser hash of the text; an empty
+table gives an empty one; very long texts take time and memory in proportion; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -75,7 +79,7 @@ def _key(lines: str) -> bytes:
     return hashlib.blake2b(lines.removesuffix("\n").encode("utf-8", "surrogatepass"), digest_size=16).digest()
 
 
-CHUNK = "row long, id long, at int, n_lines int, key binary"
+CHUNK = "row binary, id long, at int, n_lines int, key binary"
 
 
 def _chunk_rows(rows: DataFrame, with_text: bool) -> DataFrame:
@@ -95,10 +99,68 @@ def _chunk_rows(rows: DataFrame, with_text: bool) -> DataFrame:
     return rows.mapInPandas(explode, CHUNK + (", words string" if with_text else ""))
 
 
-def repeated_chunks(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(row, id, t, order) of the input, and (row, at, n_lines) of each chunk to remove."""
-    t = F.col(f"`{text}`").cast("string")
-    rows = df.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{doc_id}`").cast("long").alias("id"), t.alias("t"))
+def _rows(df: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(row, id, t) of the input: ``row`` is a hash of id and text."""
+    i, t = F.col(f"`{doc_id}`").cast("long"), F.col(f"`{text}`").cast("string")
+    known = F.concat_ws("|", F.coalesce(i.cast("string"), F.lit("-")), F.coalesce(F.xxhash64(t).cast("string"), F.lit("-")), F.xxhash64(t, F.lit(1)).cast("string"), t.isNull().cast("string"))
+    return df.select(F.unhex(F.md5(known)).alias("row"), i.alias("id"), t.alias("t"))
+
+
+def _once(rows: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Each row once, and (row, id, t, spare) of those that stand more than once, ``spare`` times more; None if none does."""
+    copies = cut(rows.groupBy("row").count().filter("count > 1").select("row", (F.col("count") - 1).alias("spare")))
+    if copies.isEmpty():
+        return rows, None
+    small = broadcast_if_small(copies)
+    held = rows.join(small.select("row"), "row", "left_semi").groupBy("row").agg(F.first("id").alias("id"), F.first("t").alias("t"))
+    return rows.join(small.select("row"), "row", "left_anti").unionByName(held), held.join(small, "row")
+
+
+def _order() -> Column:
+    return F.struct(F.col("id").isNull().alias("x"), F.col("id"), F.col("row"), F.col("at"))
+
+
+REST = "text string, n_removed long, removed string"
+
+
+def _assembled(rows: DataFrame, gone: DataFrame, spare: DataFrame | None, doc_id: str, text: str) -> DataFrame:
+    """The rows without the ranges (row, gone: array of first and length, ascending) and, of copies, without any of two or more lines."""
+
+    @F.pandas_udf(REST)
+    def rest(texts: pd.Series, ranges: pd.Series) -> pd.DataFrame:
+        out = []
+        for t, removed in zip(texts, ranges, strict=True):
+            if t is None or removed is None:
+                out.append((None, 0, ""))
+                continue
+            lines, kept, n, end, names = t.split("\n"), [], 0, 0, []
+            for r in removed:
+                kept += lines[end : r["first"]]
+                end = r["first"] + r["length"]
+                n += r["length"]
+                names.append(f"{r['first']}+{r['length']}")
+            out.append(("\n".join(kept + lines[end:]), n, ",".join(names)))
+        return pd.DataFrame(out, columns=[x.split()[0] for x in REST.split(", ")])
+
+    n_lines = F.when(F.col("t").isNull(), 0).otherwise(F.size(F.split("t", "\n"))).cast("long")
+    met = rows.join(broadcast_if_small(cut(gone)), "row", "left")
+    # Only texts that lose something go through Python.
+    met = met.withColumn("rest", rest(F.when(F.col("gone").isNotNull(), F.col("t")), "gone"))
+    out = met.select(
+        F.col("id").alias(doc_id), F.when(F.col("gone").isNull(), F.col("t")).otherwise(F.col("rest.text")).alias(text), n_lines.alias("n_lines"), F.col("rest.n_removed").alias("n_removed"), F.col("rest.removed").alias("removed")
+    )
+    if spare is None:
+        return out
+    whole = n_lines >= 2
+    copies = spare.withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("spare").cast("int")))).select(
+        F.col("id").alias(doc_id), F.when(whole, F.lit("")).otherwise(F.col("t")).alias(text), n_lines.alias("n_lines"), F.when(whole, n_lines).otherwise(0).cast("long").alias("n_removed"),
+        F.when(whole, F.concat(F.lit("0+"), n_lines.cast("string"))).otherwise("").alias("removed"),
+    )
+    return out.unionByName(copies)
+
+
+def repeated_chunks(rows: DataFrame) -> DataFrame:
+    """(row, at, n_lines) of each chunk to remove from rows (row, id, t), each of which stands once."""
     narrow = cut(_chunk_rows(rows, False))
     often = cut(narrow.groupBy("key").count().filter("count > 1").select("key"))
     places = narrow.join(broadcast_if_small(often), "key")
@@ -111,12 +173,11 @@ def repeated_chunks(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     else:
         split = words.join(broadcast_if_small(clash), "key").select("row", "at", "words")
         places = places.join(split, ["row", "at"], "left")
-    order = F.struct(F.col("id").isNull().alias("x"), F.col("id"), F.col("row"), F.col("at"))
-    first = places.groupBy("key", "words").agg(F.min(order).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    first = places.groupBy("key", "words").agg(F.min(_order()).alias("first"), F.count("*").alias("n")).filter("n > 1")
     same = F.col("a.words").eqNullSafe(F.col("b.words"))
     met = places.alias("a").join(first.alias("b"), (F.col("a.key") == F.col("b.key")) & same)
     lost = met.filter((F.col("a.row") != F.col("b.first.row")) | (F.col("a.at") != F.col("b.first.at")))
-    return rows, lost.select(F.col("a.row").alias("row"), F.col("a.at").alias("at"), F.col("a.n_lines").alias("n_lines"))
+    return lost.select(F.col("a.row").alias("row"), F.col("a.at").alias("at"), F.col("a.n_lines").alias("n_lines"))
 
 
 def dedup_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -124,18 +185,10 @@ def dedup_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
 
     ``removed`` lists the removed ranges as ``first+lines``, comma-joined, lines counted from 0.
     """
-    rows, lost = repeated_chunks(df, doc_id, text)
-    gone = lost.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("at", "n_lines"))).alias("gone"))
-    gone = broadcast_if_small(cut(gone))
-    met = rows.join(gone, "row", "left").withColumn("lines", F.split("t", "\n"))
-    kept = F.filter("lines", lambda x, i: ~F.exists(F.col("gone"), lambda g: (i >= g["at"]) & (i < g["at"] + g["n_lines"])))
-    return met.select(
-        F.col("id").alias(doc_id),
-        F.when(F.col("gone").isNull(), F.col("t")).otherwise(F.array_join(kept, "\n")).alias(text),
-        F.when(F.col("t").isNull(), 0).otherwise(F.size("lines")).cast("long").alias("n_lines"),
-        F.aggregate(F.coalesce("gone", F.array().cast("array<struct<at:int,n_lines:int>>")), F.lit(0), lambda n, g: n + g["n_lines"]).cast("long").alias("n_removed"),
-        F.array_join(F.transform(F.coalesce("gone", F.array().cast("array<struct<at:int,n_lines:int>>")), lambda g: F.concat(g["at"].cast("string"), F.lit("+"), g["n_lines"].cast("string"))), ",").alias("removed"),
-    )
+    rows, spare = _once(_rows(df, doc_id, text))
+    lost = repeated_chunks(rows)
+    gone = lost.groupBy("row").agg(F.array_sort(F.collect_list(F.struct(F.col("at").alias("first"), F.col("n_lines").alias("length")))).alias("gone"))
+    return _assembled(rows, gone, spare, doc_id, text)
 
 
 def _pairs(rows: DataFrame) -> DataFrame:
@@ -150,10 +203,8 @@ def _line_hash(line: Column) -> Column:
     return F.xxhash64(line)
 
 
-def repeated_pairs(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(row, id, t) of the input, and (row, at) of each pair of adjacent lines that stands at an earlier place."""
-    t = F.col(f"`{text}`").cast("string")
-    rows = df.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{doc_id}`").cast("long").alias("id"), t.alias("t"))
+def repeated_pairs(rows: DataFrame) -> DataFrame:
+    """(row, at) of each pair of adjacent lines that stands at an earlier place, of rows (row, id, t), each of which stands once."""
     pairs = _pairs(rows)
     often = broadcast_if_small(cut(pairs.groupBy("a", "b").count().filter("count > 1").select("a", "b")))
     places = pairs.join(often, ["a", "b"])
@@ -168,13 +219,12 @@ def repeated_pairs(df: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         split = lines.join(broadcast_if_small(clash), "h").select("row", "at", "line")
         places = places.join(split.withColumnRenamed("line", "one"), ["row", "at"], "left")
         places = places.join(split.select("row", (F.col("at") - 1).alias("at"), F.col("line").alias("two")), ["row", "at"], "left")
-    order = F.struct(F.col("id").isNull().alias("x"), F.col("id"), F.col("row"), F.col("at"))
-    first = places.groupBy("a", "b", "one", "two").agg(F.min(order).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    first = places.groupBy("a", "b", "one", "two").agg(F.min(_order()).alias("first"), F.count("*").alias("n")).filter("n > 1")
     p, f = places.alias("p"), broadcast_if_small(cut(first)).alias("f")
     same = F.col("p.one").eqNullSafe(F.col("f.one")) & F.col("p.two").eqNullSafe(F.col("f.two"))
     met = p.join(f, (F.col("p.a") == F.col("f.a")) & (F.col("p.b") == F.col("f.b")) & same)
     lost = met.filter((F.col("p.row") != F.col("f.first.row")) | (F.col("p.at") > F.col("f.first.at") + 1))
-    return rows, lost.select(F.col("p.row").alias("row"), F.col("p.at").alias("at"))
+    return lost.select(F.col("p.row").alias("row"), F.col("p.at").alias("at"))
 
 
 def dedup_runs(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -182,21 +232,10 @@ def dedup_runs(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
 
     ``removed`` lists the removed ranges as ``first+lines``, comma-joined, lines counted from 0; ranges do not touch.
     """
-    rows, lost = repeated_pairs(df, doc_id, text)
-    gone = broadcast_if_small(cut(lost.groupBy("row").agg(F.array_sort(F.collect_list("at")).alias("gone"))))
-    met = rows.join(gone, "row", "left").withColumn("lines", F.split("t", "\n"))
+    rows, spare = _once(_rows(df, doc_id, text))
+    lost = repeated_pairs(rows).groupBy("row").agg(F.array_sort(F.collect_list("at")).alias("at"))
     # A range begins where the pair before ends above it, and ends where the next pair begins below it.
-    begins = F.filter("gone", lambda x, i: (i == 0) | (x - F.get("gone", i - 1) > 2))
-    ends = F.transform(F.filter("gone", lambda x, i: (i == F.size("gone") - 1) | (F.get("gone", i + 1) - x > 2)), lambda x: x + 2)
-    met = met.withColumn("begins", begins).withColumn("ends", ends)
-    none = F.array().cast("array<int>")
-    ranges = F.arrays_zip(F.coalesce("begins", none).alias("from"), F.coalesce("ends", none).alias("to"))
-    stays = F.arrays_zip(F.concat(F.array(F.lit(0)), "ends").alias("from"), F.concat("begins", F.array(F.size("lines"))).alias("to"))
-    kept = F.flatten(F.transform(stays, lambda r: F.slice("lines", r["from"] + 1, r["to"] - r["from"])))
-    return met.select(
-        F.col("id").alias(doc_id),
-        F.when(F.col("gone").isNull(), F.col("t")).otherwise(F.array_join(kept, "\n")).alias(text),
-        F.when(F.col("t").isNull(), 0).otherwise(F.size("lines")).cast("long").alias("n_lines"),
-        F.aggregate(ranges, F.lit(0), lambda n, r: n + r["to"] - r["from"]).cast("long").alias("n_removed"),
-        F.array_join(F.transform(ranges, lambda r: F.concat(r["from"].cast("string"), F.lit("+"), (r["to"] - r["from"]).cast("string"))), ",").alias("removed"),
-    )
+    begins = F.filter("at", lambda x, i: (i == 0) | (x - F.get("at", i - 1) > 2))
+    ends = F.transform(F.filter("at", lambda x, i: (i == F.size("at") - 1) | (F.get("at", i + 1) - x > 2)), lambda x: x + 2)
+    ranges = F.zip_with(begins, ends, lambda x, y: F.struct(x.alias("first"), (y - x).alias("length")))
+    return _assembled(rows, lost.select("row", ranges.alias("gone")), spare, doc_id, text)
