@@ -25,4 +25,37 @@ SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, CAST(coalesce(c.n_hit, 0)
 FROM words w LEFT JOIN covered c USING (doc_id) LEFT JOIN found f USING (doc_id)
 """
 
-SQL: dict[str, str] = {"op8_decontamination": DECONTAMINATION}
+
+def _crc_table() -> list[int]:
+    out = []
+    for x in range(256):
+        for _ in range(8):
+            x = (x >> 1) ^ (0xEDB88320 if x & 1 else 0)
+        out.append(x)
+    return out
+
+
+def crc32(blob: str) -> str:
+    """SQL for the unsigned CRC-32 of a blob, byte by byte."""
+    return f"xor(list_reduce(list_transform(regexp_extract_all(hex({blob}), '..'), lambda h: ('0x' || h)::BIGINT), lambda acc, x: xor(acc >> 8, {_crc_table()}[1 + (xor(acc, x) & 255)]), 4294967295::BIGINT), 4294967295)"
+
+
+def _drawn(path: str, weight: float) -> str:
+    return f"(-ln((('0x' || substr(md5(concat('tree-1|', {path}, '|', doc_id)), 1, 13))::BIGINT::DOUBLE + 1.0) / 4503599627370497.0) / {weight})"
+
+
+#: Two regions of two racks of two shards, and a ninth shard as a region of its own, drawn for each document.
+SHARDING = f"""
+WITH d AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 1 AS size, {crc32("encode(coalesce(text, ''))")} AS text_crc32,
+  {_drawn("'/r0'", 4.0)} AS r0, {_drawn("'/r1'", 4.0)} AS r1, {_drawn("'/r8x'", 1.0)} AS r8,
+  [{', '.join(f"[{', '.join(_drawn(chr(39) + f'/r{r}/k{k}' + chr(39), 2.0) for k in (0, 1))}]" for r in (0, 1))}] AS racks,
+  [{', '.join(_drawn(chr(39) + f'/r{i // 4}/k{i // 2 % 2}/{i}' + chr(39), 1.0) for i in range(8))}] AS shards FROM documents),
+r AS (SELECT *, CASE WHEN r0 <= r1 THEN 0 ELSE 1 END AS region FROM d),
+k AS (SELECT *, 4 * region + CASE WHEN racks[region + 1][1] <= racks[region + 1][2] THEN 0 ELSE 2 END AS first FROM r),
+s AS (SELECT *, first + CASE WHEN shards[first + 1] <= shards[first + 2] THEN 0 ELSE 1 END AS shard FROM k),
+p AS (SELECT *, ('0x' || substr(md5(concat(doc_id, '|', text_crc32)), 1, 8))::BIGINT % 4096 AS part FROM s)
+SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'key' AS law, shard::INT AS shard,
+  row_number() OVER (PARTITION BY shard ORDER BY part, doc_id, text_crc32, size) - 1 AS slot, CASE WHEN r8 < least(r0, r1) THEN 8 ELSE shard END::INT AS grown_shard FROM p
+"""
+
+SQL: dict[str, str] = {"op3_sharding": SHARDING, "op8_decontamination": DECONTAMINATION}

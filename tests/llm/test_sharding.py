@@ -56,3 +56,37 @@ def test_edge_cases(spark):
     assert assign_shards(df.limit(0)).count() == 0
     with pytest.raises(ValueError):
         shard_of(F.col("id"), [Leaf("a", "b", 0, 0)])
+
+
+def plain_shard(key, tree, seed="tree-1"):
+    """The descent, node by node."""
+    import hashlib
+    import math
+
+    leaves, path = [x for x in tree if x.weight > 0], ""
+    for level in ("region", "rack", "shard"):
+        best = None
+        for child in dict.fromkeys(getattr(x, level) for x in leaves):
+            below = [x for x in leaves if getattr(x, level) == child]
+            bits = int(hashlib.md5(f"{seed}|{path}/{child}|{'null' if key is None else key}".encode()).hexdigest()[:13], 16)
+            drawn = -math.log((bits + 1) / (2**52 + 1)) / sum(x.weight for x in below)
+            if best is None or drawn < best[0]:
+                best = (drawn, child, below)
+        path, leaves = f"{path}/{best[1]}", best[2]
+    return leaves[0].shard
+
+
+def test_descent_equals_brute_force(spark):
+    from sparkloom.llm.sharding import grown
+
+    odd = [Leaf("a", "x", 7, 1.5), Leaf("a", "y", 3, 0.5), Leaf("b", "x", 1, 4), Leaf("b", "x", 0, 0)]
+    keys = spark.createDataFrame([(i,) for i in [*range(400), None]], "id long")
+    for tree in (odd, grown(odd), standard_tree(8), standard_tree(9), standard_tree(64), standard_tree(100)):
+        assert all(r["s"] == plain_shard(r["id"], tree) for r in keys.select("id", shard_of(F.col("id"), tree).alias("s")).collect())
+
+
+def test_a_thousand_shards_draw_thirty_times(spark):
+    tree = standard_tree(1000)
+    assert len({x.region for x in tree}) == 10 and len({(x.region, x.rack) for x in tree}) == 100
+    rows = assign_shards(spark.range(20_000).selectExpr("id AS doc_id", "'x' AS text"), shards=1000).collect()
+    assert len({r["shard"] for r in rows}) == 1000 and all(r["grown_shard"] in (r["shard"], 1000) for r in rows)
