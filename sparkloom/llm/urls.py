@@ -7,15 +7,19 @@ A rule is (suffix of the host, start of the path, verdict). It fits its host and
 fit, the longest wins. Where none fits, the trees decide. They are learned from labelled urls, by default those that a
 rule labels, and see the url only through features: lengths, depth, share of digits, entropy, counts of parameters,
 and how often urls of the same suffix were blocked. Those statistics are counted over all labelled rows and joined to the
-urls. Only the trees learn from a sample, of at most ``max_rows`` distinct urls: a url enters with a chance in proportion
-to its rows, by its hash, and for certain if it has more than a share of them; its weight makes up for the chance.
-
-Defined results: without two classes to learn from, the trees give the class there is, or ``allow`` if there is none;
-repeated rows each get their own result; other columns are ignored.
+urls; the trees learn from statistics without the url's own fold, one of ``FOLDS`` by its hash, so that no url tells them its
+own label. Only the trees learn from a sample, of at most ``max_rows`` distinct urls: a url enters with a chance in proportion
+to its rows, by its hash, and for certain if it has more than a share of them; its weight makes up for the chance. If chance
+gives more, those of greatest weight and then of least hash stay, so nothing is cut by name.
+
+Defined results: without two classes to learn from, the trees give the class there is, or ``allow`` if there is none; a score
+of just 0.5 blocks; repeated rows each get their own result; an empty table gives an empty one; very long urls are read
+whole; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -23,12 +27,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import broadcast_if_small, cut
+from sparkloom.llm.common import broadcast_if_small, cut, small_batches
 
 ALLOW, BLOCK = "allow", "block"
 #: The rules of the standard query: host and path, and the verdict.
 RULES = (("net/", BLOCK), ("example.net/en/", ALLOW), ("example.com/de/", BLOCK), ("org/fr/", ALLOW))
 MAX_ROWS, TREES, DEPTH, RATE, BINS, SMOOTHING = 20_000, 40, 3, 0.2, 32, 20.0
+FOLDS = 5
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SHAPE = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
@@ -153,13 +158,16 @@ def fit(
         model.base = 1.0 if len(y) and y[0] else -1.0
         return model
     if rates is None:
-        seen: dict[str, list[float]] = {}
-        for host, b, weight in zip(hosts, y, w, strict=True):
-            for name in set(suffixes(host)):
-                n = seen.setdefault(name, [0.0, 0.0])
+        seen: dict[tuple[str, int | None], list[float]] = {}
+        for url, host, b, weight in zip(urls, hosts, y, w, strict=True):
+            for key in {(name, fold) for name in suffixes(host) for fold in (None, _fold(url))}:
+                n = seen.setdefault(key, [0.0, 0.0])
                 n[0] += b * weight
                 n[1] += weight
-        model.suffix = {k: (b + SMOOTHING * model.prior) / (n + SMOOTHING) for k, (b, n) in seen.items()}
+        rate = lambda b, n: (b + SMOOTHING * model.prior) / (n + SMOOTHING)
+        model.suffix = {name: rate(*n) for (name, fold), n in seen.items() if fold is None}
+        rest = lambda name, fold: rate(*(a - own for a, own in zip(seen[name, None], seen[name, fold], strict=True)))
+        rates = [tuple(rest(name, _fold(url)) for name in suffixes(host)) for url, host in zip(urls, hosts, strict=True)]
     x = model.features(urls, hosts, paths, rates)
     edges = [np.unique(_quantiles(x[:, f], w, np.linspace(0, 1, BINS + 1)[1:-1])) for f in range(x.shape[1])]
     binned = np.stack([np.searchsorted(edges[f], x[:, f], side="left") for f in range(x.shape[1])], axis=1)
@@ -174,10 +182,35 @@ def fit(
     return model
 
 
-def suffix_rates(labelled: DataFrame, prior: float) -> DataFrame:
-    """(name, rate): how often urls of each suffix are blocked, over all rows of (host, blocked)."""
-    names = labelled.select(F.explode(F.array_distinct(F.array(*_names(F.col("host"))))).alias("name"), F.col("blocked").cast("double").alias("b"))
-    return names.groupBy("name").agg(((F.sum("b") + SMOOTHING * prior) / (F.count("*") + SMOOTHING)).alias("rate"))
+def _fold(url: str) -> int:
+    return int(hashlib.md5(url.encode("utf-8", "surrogatepass")).hexdigest()[8:10], 16) % FOLDS
+
+
+def fold_of(url: Column) -> Column:
+    """The same as ``_fold``."""
+    return F.conv(F.substring(F.md5(url), 9, 2), 16, 10).cast("int") % FOLDS
+
+
+def suffix_counts(labelled: DataFrame) -> DataFrame:
+    """(name, fold, b, n): blocked and all rows of each suffix in each fold, over all rows of (url, host, blocked)."""
+    names = labelled.select(fold_of(F.col("url")).alias("fold"), F.explode(F.array_distinct(F.array(*_names(F.col("host"))))).alias("name"), F.col("blocked").cast("double").alias("b"))
+    return names.groupBy("name", "fold").agg(F.sum("b").alias("b"), F.count("*").alias("n"))
+
+
+def suffix_rates(counts: DataFrame, prior: float) -> DataFrame:
+    """(name, rate): how often urls of each suffix are blocked."""
+    return counts.groupBy("name").agg(((F.sum("b") + SMOOTHING * prior) / (F.sum("n") + SMOOTHING)).alias("rate"))
+
+
+def with_other_rates(df: DataFrame, counts: DataFrame, prior: float) -> DataFrame:
+    """``df``, which has url and host, with ``last_rate`` and ``two_rate`` over the folds that are not the url's."""
+    whole = counts.groupBy("name").agg(F.sum("b").alias("all_b"), F.sum("n").alias("all_n"))
+    rest = counts.join(whole, "name").select("name", "fold", ((F.col("all_b") - F.col("b") + SMOOTHING * prior) / (F.col("all_n") - F.col("n") + SMOOTHING)).alias("rate"))
+    last, two = _names(F.col("host"))
+    keyed = df.withColumn("last_name", last).withColumn("two_name", two).withColumn("fold", fold_of(F.col("url")))
+    for name in ("last", "two"):
+        keyed = keyed.join(rest.select(F.col("name").alias(f"{name}_name"), "fold", F.col("rate").alias(f"{name}_rate")), [f"{name}_name", "fold"], "left")
+    return keyed.drop("last_name", "two_name", "fold").fillna(prior, ["last_rate", "two_rate"])
 
 
 def _names(host: Column) -> tuple[Column, Column]:
@@ -208,16 +241,16 @@ def learn(labelled: DataFrame, max_rows: int = MAX_ROWS) -> tuple[Model, DataFra
     """Trees from (url, host, path, blocked), and the rates of all suffixes in it."""
     total = labelled.agg(F.count("*").alias("n"), F.sum(F.col("blocked").cast("long")).alias("b")).first()
     prior = (total["b"] or 0) / max(1, total["n"])
-    rates = cut(suffix_rates(labelled, prior))
+    counts = cut(suffix_counts(labelled))
     rows = []
-    for r in with_rates(sample(labelled, total["n"], max_rows), rates, prior).collect():
+    for r in with_other_rates(sample(labelled, total["n"], max_rows), counts, prior).collect():  # at most max_rows
         # A url with both labels is a row of each.
         for blocked, n in ((True, r["n_blocked"]), (False, r["n_rows"] - r["n_blocked"])):
             if n:
                 rows.append((r["url"], r["host"], r["path"], blocked, r["weight"] * n / r["n_rows"], (r["last_rate"], r["two_rate"])))
     rows.sort(key=lambda r: (r[0], r[3]))
     urls, hosts, paths, blocked, weights, of = (list(c) for c in zip(*rows, strict=True)) if rows else ([], [], [], [], [], [])
-    return fit(urls, hosts, paths, blocked, weights, of, prior), rates
+    return fit(urls, hosts, paths, blocked, weights, of, prior), suffix_rates(counts, prior)
 
 
 def judge(pages: DataFrame, page_id: str = "page_id", url: str = "url", rules: tuple[tuple[str, str], ...] = RULES, labelled: DataFrame | None = None, max_rows: int = MAX_ROWS) -> DataFrame:
@@ -233,6 +266,7 @@ def judge(pages: DataFrame, page_id: str = "page_id", url: str = "url", rules: t
     else:
         known = labelled.select("url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "blocked").filter(F.col("url").isNotNull() & F.col("blocked").isNotNull())
     model, rates = learn(known, max_rows)
+    small_batches(pages.sparkSession)
 
     @F.pandas_udf("double")
     def margin(urls: pd.Series, hosts: pd.Series, paths: pd.Series, last: pd.Series, two: pd.Series) -> pd.Series:
