@@ -201,3 +201,23 @@ NOTES = {
 # Ends of files that the audit reads, and directories that it never enters.
 AUDIT_ENDS = ("py", "ts", "tsx", "js", "jsx", "mjs", "cjs", "sol", "go", "rs", "java", "rb", "php", "sh", "yml", "yaml", "json", "toml", "env", "sql", "c", "cpp", "h", "cs", "kt")
 AUDIT_SKIPPED = (".git", "node_modules", ".next", "dist", "build", "__pycache__", ".venv", "venv", ".venv-ml", "vendor", "target", ".cache", "site-packages", "lib/python3.13")
+# Types and selectors of typed fields, their names, and how a number is written.
+FIELD_TYPES = ("string", "number", "boolean", "string[]")
+SELECTORS = ("title", "description", "canonical", "lang", "h1", "headings", "links", "text")
+FIELD_NAME, PROPERTY_NAME = r"[A-Za-z][A-Za-z0-9_]{0,63}", r"[A-Za-z][A-Za-z0-9_-]{0,63}"
+NUMBER = r"-?(?:0|[1-9]\d*)(?:\.\d+)?"
+# Contracts: the rule that a seed over several lines covers, such a seed, calls out, writes, guards, test paths.
+BLOCK_VALUE = r"\bblock\.(difficulty|prevrandao)\b"
+SEED_OVER_LINES = r"(?s:keccak256\s*\(\s*abi\.encodePacked\s*\([^;]{0,200}?(?:block\.(?:prevrandao|difficulty|number|timestamp)\b|blockhash\s*\())"
+EXTERNAL_CALL = r"\.call\s*\{|\.transfer\s*\(|\.send\s*\(|\.call\s*\(|\bIERC20\w*\([^)]*\)\.(transfer|transferFrom|safeTransfer)\w*\s*\("
+STATE_WRITE = r"^\s*(?:\w+(?:\[\S*\])?(?:\.\w+)?)\s*(?:[-+*/]?=|\+\+|--)\s*[^=]"
+FAILED_GUARD = r"if\s*\(\s*!\s*\w+\s*\)\s*\{"
+CONTRACT_TEST_PATH = r"(?i)(^|/)(tests?|mocks?|fixtures?|examples?)(/|$)|Mock[A-Z]|\.t\.sol$|\.test\.|\.spec\."
+REENTRY_LINES = 12
+# Imports by expression, ends of scripts, endings tried for a relative path, main guards, sections of dependencies.
+PYTHON_IMPORT = r"(?m)^\s*(?:from\s+([\w.]+)\s+import|import\s+([\w.]+))"
+SCRIPT_IMPORT = r"""(?:from\s+['"]([^'"]+)['"]|require\(\s*['"]([^'"]+)['"]\s*\))"""
+SCRIPT_ENDS = ("ts", "tsx", "js", "jsx", "mjs", "cjs")
+SCRIPT_TRIES = ("", ".js", ".ts", ".jsx", ".tsx", "/index.js", "/index.ts")
+MAIN_GUARD = r"""(?m)^if\s+__name__\s*==\s*['"]__main__['"]"""
+PACKAGE_SECTIONS = ("dependencies", "devDependencies", "peerDependencies", "optionalDependencies")

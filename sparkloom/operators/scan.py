@@ -6,6 +6,7 @@ go through Python's regular expressions, one batch at a time. Rule packs are dat
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
 from collections.abc import Iterator
@@ -13,6 +14,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from sparkloom.functions import fixed, text
 
@@ -81,28 +83,78 @@ def code_lines(df: DataFrame, path: str, column: str) -> DataFrame:
     return df.select(F.col(path).alias("path"), F.posexplode(text.lines(F.col(column))).alias("at", "text")).select("path", (F.col("at") + 1).alias("line"), "text")
 
 
+def spans_of(body: Column, pattern: str) -> Column:
+    """(start, end) lines of each match of an expression that may go over line ends."""
+    parts = F.split(F.regexp_replace(F.translate(body, "\x00", "\x01"), f"({pattern})", "\x00$1\x00"), "\x00")
+    zero = F.struct(F.lit(1).alias("line"), F.lit(False).alias("inside"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
+
+    def step(a: Column, part: Column) -> Column:
+        after = a["line"] + F.length(part) - F.length(F.replace(part, F.lit("\n"), F.lit("")))
+        out = F.when(a["inside"], F.array_append(a["out"], F.struct(a["line"].alias("start"), after.alias("end")))).otherwise(a["out"])
+        return F.struct(after.alias("line"), (~a["inside"]).alias("inside"), out.alias("out"))
+
+    return F.aggregate(parts, zero, step, lambda a: a["out"])
+
+
+def is_comment(line: Column) -> Column:
+    return F.trim(line).rlike(r"^(//|\*)")
+
+
+def write_after(line: Column, following: Column) -> Column:
+    """Of the lines after an external call, the place (from 1) of the first that writes state; null if none does.
+
+    A line that only closes a brace ends the search; blank lines and comments are passed over, and so is a write after
+    ``if (!flag) {``, which is reached only when the call failed.
+    """
+    zero = F.struct(F.lit(False).alias("stop"), F.lit(None).cast("int").alias("hit"), line.alias("seen"))
+
+    def step(a: Column, x: Column) -> Column:
+        t, n = x["text"], x["n"]
+        ends = F.contains(t, F.lit("}")) & ~F.contains(t, F.lit("{"))
+        void = (F.trim(t) == "") | F.startswith(F.trim(t), F.lit("//"))
+        writes = t.rlike(fixed.STATE_WRITE) & ~F.contains(t, F.lit("==")) & ~a["seen"].rlike(fixed.FAILED_GUARD)
+        hit = ~ends & ~void & writes
+        return F.when(a["stop"], a).otherwise(F.struct((ends | hit).alias("stop"), F.when(hit, n).alias("hit"), F.concat(a["seen"], F.lit("\n"), t).alias("seen")))
+
+    numbered = F.transform(F.array_compact(following), lambda t, i: F.struct(t.alias("text"), (i + 1).cast("int").alias("n")))
+    return F.when(line.rlike(fixed.EXTERNAL_CALL), F.aggregate(numbered, zero, step, lambda a: a["hit"]))
+
+
 def contract_findings(lines: DataFrame) -> DataFrame:
     """Contract rules on (path, line, text): one row for each rule and line; test paths weigh one step less.
 
-    An unchecked low-level call is one whose success is discarded, or not required within the next three lines.
+    A value drawn from block variables over several lines covers the lines of the plain rule. An unchecked low-level call
+    is one whose success is discarded, or not asked for within three lines. State written within twelve lines after an
+    external call is open to reentry.
     """
-    from pyspark.sql.window import Window
-
+    after = Window.partitionBy("path").orderBy("line")
     t = F.col("text")
+    next_lines = F.array(*[F.lead("text", i).over(after) for i in range(1, fixed.REENTRY_LINES + 1)])
+    rows = lines.withColumn("next", next_lines)
+    whole = lines.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("line", "text"))).alias("all"))
+    spans = whole.select("path", F.explode(spans_of(F.array_join(F.transform("all", lambda x: x["text"]), "\n"), fixed.SEED_OVER_LINES)).alias("s")).select("path", "s.start", "s.end")
+    seeds = spans.select("path", F.lit("weak_randomness").alias("rule"), F.col("start").alias("line"), F.lit("high").alias("severity"))
     hits = F.array_compact(F.array(*[F.when(t.rlike(p), F.struct(F.lit(i).alias("i"), F.lit(r).alias("rule"), F.lit(s).alias("severity"))) for i, (r, s, p) in enumerate(fixed.CONTRACT)]))
-    live = lines.filter(~F.trim(t).rlike(r"^(//|\*|/\*)"))
-    single = live.select("path", "line", F.explode(hits).alias("h")).groupBy("path", "line", F.col("h.rule").alias("rule")).agg(F.min(F.struct("h.i", "h.severity")).alias("h"))
-    single = single.select("path", "line", "rule", F.col("h.severity").alias("severity"))
-    after = Window.partitionBy("path").orderBy("line")
+    single = rows.filter(~is_comment(t)).select("path", "line", F.explode(hits).alias("h")).select("path", "line", "h.*")
+    plain = [i for i, (_, _, p) in enumerate(fixed.CONTRACT) if p == fixed.BLOCK_VALUE]
+    covered = single.filter(F.col("i").isin(plain)).join(spans, "path").filter("line between start and end").select("path", "line", "i").distinct()
+    single = single.join(covered, ["path", "line", "i"], "left_anti").select("path", "rule", "line", "severity", "i")
     var = F.regexp_extract(t, r"\(\s*bool\s+(\w+)\s*,", 1)
-    near = F.concat_ws("\n", F.lead("text", 1).over(after), F.lead("text", 2).over(after), F.lead("text", 3).over(after))
-    calls = lines.withColumn("var", var).withColumn("near", F.regexp_replace(near, r"\s+", "")).filter(t.rlike(r"\.call\s*[({]") & ~F.trim(t).rlike(r"^(//|\*)"))
-    asked = F.contains("near", F.concat(F.lit("require("), F.col("var"))) | F.contains("near", F.concat(F.lit("if(!"), F.col("var")))
-    loose = calls.filter(((F.col("var") != "") & ~asked) | ((F.col("var") == "") & F.trim(t).rlike(r"^[\w.()\[\]]+\.call\s*[({]")))
-    found = single.unionByName(loose.select("path", "line", F.lit("unchecked_call").alias("rule"), F.lit("high").alias("severity")))
+    near = F.array_join(F.slice("next", 1, 3), "\n")
+    calls = rows.filter(F.contains(t, F.lit(".call")) & ~F.startswith(F.trim(t), F.lit("//"))).select("path", "line", t.alias("text"), var.alias("var"), near.alias("near"))
+    # The name that was captured stands where the expression has a NUL.
+    named = F.regexp_replace("near", F.concat(F.lit(r"\b"), F.col("var"), F.lit(r"\b")), "\x00")
+    asked = named.rlike(r"require\s*\(\s*\x00|if\s*\(\s*!?\s*\x00")
+    loose = calls.filter(((F.col("var") != "") & ~asked) | ((F.col("var") == "") & F.col("text").rlike(r"^\s*[^=;]+\.call\s*[({]")))
+    reentry = rows.select("path", "line", write_after(t, F.col("next")).alias("n")).filter("n is not null")
+    found = [
+        seeds.withColumn("i", F.lit(-1)), single, loose.select("path", F.lit("unchecked_call").alias("rule"), "line", F.lit("high").alias("severity"), F.lit(0).alias("i")),
+        reentry.select("path", F.lit("reentrancy_state_after_call").alias("rule"), (F.col("line") + F.col("n")).alias("line"), F.lit("critical").alias("severity"), F.lit(0).alias("i")),
+    ]
+    every = functools.reduce(DataFrame.unionByName, found).groupBy("path", "rule", "line").agg(F.min(F.struct("i", "severity")).alias("h")).select("path", "rule", "line", F.col("h.severity").alias("severity"))
     order = F.array(*[F.lit(s) for s in fixed.SEVERITIES])
     milder = F.element_at(order, F.least(F.array_position(order, F.col("severity")).cast("int") + 1, F.lit(5)))
-    return found.withColumn("severity", F.when(F.col("path").rlike(r"(?i)(^|/)(test|tests|mock|mocks|fixture|fixtures)/|\.t\.sol$"), milder).otherwise(F.col("severity")))
+    return every.withColumn("severity", F.when(F.col("path").rlike(fixed.CONTRACT_TEST_PATH), milder).otherwise(F.col("severity")))
 
 
 def brace_depth(body: Column) -> Column:

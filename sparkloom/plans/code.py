@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.functions import fixed, packs
-from sparkloom.operators import tree
+from sparkloom.operators import imports, scan, tree
 from sparkloom.plans.registry import query, re2
 from sparkloom.plans.samples import sample
 from sparkloom.session import table
@@ -195,3 +195,144 @@ def file_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     admitted = tree.within_budget(sized, "tree", "path", "size", 100, 20_000, 150_000)
     size = F.when(F.col("admitted"), F.col("size")).otherwise(0)
     return admitted.groupBy("tree").agg(F.count_if("admitted").alias("files"), F.sum(size).alias("bytes"))
+
+
+BAD = """pragma solidity ^0.8.0;
+contract C {
+  function f() public {
+    require(tx.origin == owner);
+    (bool ok, ) = a.call{value: 1}("");
+    x = 1;
+    y = 2;
+    z = 3;
+    selfdestruct(owner);
+  }
+  function g() external {
+    uint s = uint(keccak256(abi.encodePacked(
+      seed,
+      block.prevrandao
+    )));
+    // block.difficulty in a comment
+    uint d = block.difficulty;
+    for (uint i = 0; i < list.length; i++) { token.transfer(list[i]); }
+    payable(a).send(1);
+    balances[msg.sender] -= 1;
+  }
+}"""
+GOOD = """pragma solidity 0.8.20;
+contract C {
+  function f() external {
+    balances[msg.sender] = 0;
+    // tx.origin == is bad
+    (bool ok, ) = a.call{value: 1}("");
+    if (!ok) {
+      paid = false;
+    }
+    require(ok);
+  }
+  function h() external {
+    (bool done, ) = b.call("");
+
+    if ( ! done ) revert();
+  }
+}"""
+ODD = """  a.call("");
+  }
+  x = 1;
+contract D { function initialize() public {} }
+  IERC20(t).safeTransfer(a, 1);
+
+  // note
+  if (x == y) { z = 1; }
+  total += 1;
+  (bool fine, ) = c.call{value: 2}("");
+  finest = true;
+  require(finest);
+  b.delegatecall(data); assembly { } unchecked { }"""
+CONTRACT_BODIES, CONTRACT_PATHS = [BAD, GOOD, ODD], ["src/C{}.sol", "test/C{}.t.sol", "src/MockC{}.sol", "contracts/C{}.sol"]
+CONTRACTS_SQL = f"(SELECT doc_id, replace({[*CONTRACT_PATHS]}[1 + doc_id % 4], '{{}}', doc_id::VARCHAR) AS path, concat(list_value({', '.join(map(_text_sql, CONTRACT_BODIES))})[1 + doc_id % 3], chr(10), '// ', left(text, 40)) AS body FROM documents)"
+
+
+def _contract_sql() -> str:
+    single = ", ".join(f"{{i: {i}, rule: '{r}', severity: '{s}', hit: regexp_matches(t, '{re2(p)}')}}" for i, (r, s, p) in enumerate(fixed.CONTRACT))
+    block = next(i for i, (_, _, p) in enumerate(fixed.CONTRACT) if p == fixed.BLOCK_VALUE)
+    ranks = " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in zip(fixed.SEVERITIES, [*fixed.SEVERITIES[1:], "info"], strict=True))
+    return f"""WITH f AS (SELECT path, body, string_split(body, chr(10)) AS ls FROM {CONTRACTS_SQL}), l AS (SELECT path, line, ls[line] AS t, ls[line + 1:line + 3] AS near, ls[line + 1:line + {fixed.REENTRY_LINES}] AS nxt FROM (SELECT path, ls, unnest(range(1, len(ls) + 1)) AS line FROM f)),
+  m AS (SELECT path, unnest(list_zip(string_split_regex(body, '{re2(fixed.SEED_OVER_LINES)}')[:-2], regexp_extract_all(body, '{re2(fixed.SEED_OVER_LINES)}'))) AS z, body FROM f),
+  sp AS (SELECT path, 1 + length(before) - length(replace(before, chr(10), '')) AS a, 1 + length(before || hit) - length(replace(before || hit, chr(10), '')) AS b FROM (SELECT path, z[2] AS hit, left(body, position(z[2] IN body) - 1) AS before FROM m)),
+  s AS (SELECT path, line, h.i AS i, h.rule AS rule, h.severity AS severity FROM (SELECT path, line, unnest([{single}]) AS h FROM l WHERE NOT regexp_matches(trim(t), '^(//|\\*)')) WHERE h.hit),
+  v AS (SELECT path, line, t, regexp_extract(t, '\\(\\s*bool\\s+(\\w+)\\s*,', 1) AS v, array_to_string(near, chr(10)) AS near FROM l WHERE contains(t, '.call') AND NOT starts_with(trim(t), '//')),
+  u AS (SELECT path, line FROM v WHERE CASE WHEN v <> '' THEN NOT regexp_matches(near, concat('require\\s*\\(\\s*', v, '\\b|if\\s*\\(\\s*!?\\s*', v, '\\b')) ELSE regexp_matches(t, '^\\s*[^=;]+\\.call\\s*[({{]') END),
+  e AS (SELECT path, line, list_reduce(list_transform(nxt, lambda x, j: {{stop: false, hit: j::BIGINT, seen: x}}), lambda a, x: CASE WHEN a.stop THEN a WHEN contains(x.seen, '}}') AND NOT contains(x.seen, '{{') THEN {{stop: true, hit: 0::BIGINT, seen: ''}}
+      WHEN trim(x.seen) <> '' AND NOT starts_with(trim(x.seen), '//') AND regexp_matches(x.seen, '{re2(fixed.STATE_WRITE)}') AND NOT contains(x.seen, '==') AND NOT regexp_matches(a.seen, '{re2(fixed.FAILED_GUARD)}') THEN {{stop: true, hit: x.hit, seen: ''}}
+      ELSE {{stop: false, hit: 0::BIGINT, seen: concat(a.seen, chr(10), x.seen)}} END, {{stop: false, hit: 0::BIGINT, seen: t}}).hit AS n FROM l WHERE regexp_matches(t, '{re2(fixed.EXTERNAL_CALL)}')),
+  o AS (SELECT path, 'weak_randomness' AS rule, a AS line, 'high' AS severity, -1 AS i FROM sp UNION ALL SELECT path, rule, line, severity, i FROM s WHERE NOT (i = {block} AND EXISTS (SELECT 1 FROM sp WHERE sp.path = s.path AND s.line BETWEEN a AND b))
+    UNION ALL SELECT path, 'unchecked_call', line, 'high', 0 FROM u UNION ALL SELECT path, 'reentrancy_state_after_call', line + n, 'critical', 0 FROM e WHERE n > 0),
+  g AS (SELECT path, rule, line, arg_min(severity, i) AS severity FROM o GROUP BY path, rule, line)
+  SELECT path, rule, line::INT AS line, CASE WHEN regexp_matches(path, '{re2(fixed.CONTRACT_TEST_PATH)}') THEN CASE severity {ranks} END ELSE severity END AS severity FROM g"""
+
+
+@query(_contract_sql())
+def file_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = F.col("doc_id")
+    pick = lambda items: F.element_at(F.array(*map(F.lit, items)), (d % len(items) + 1).cast("int"))
+    path = F.replace(pick(CONTRACT_PATHS), F.lit("{}"), d.cast("string"))
+    rows = table(spark, sf_dir, "documents").select(path.alias("path"), F.concat(pick(CONTRACT_BODIES), F.lit("\n// "), F.left("text", F.lit(40))).alias("body"))
+    found = scan.contract_findings(scan.code_lines(rows, "path", "body"))
+    return found.select("path", "rule", F.col("line").cast("int").alias("line"), "severity")
+
+
+#: Bodies of modules that import each other, with the number of the next one for the braces.
+MODULES = [
+    ("m{}.py", "import os\nfrom lib.m{} import x\nimport m{}.sub\nfrom _private import y\n"), ("lib/m{}.py", "import m{}\n\n  import json.decoder\n"), ("web/m{}.ts", "import a from './m{}'\nimport b from \"../lib/m{}.js\"\nconst c = require('react/dom')\n"),
+    ("web/m{}.js", "const d = require( \"./../web/./m{}\" )\nfrom './'\n"), ("lib/m{}.js", "import z from '@scope/pkg'\nimport q from './../../../up/m{}'\n"), ("c/M{}.sol", "contract M{} { }"), ("notes/m{}.md", "import nothing\n"),
+]
+N = len(MODULES)
+MODULES_SQL = f"(SELECT doc_id, concat('r', doc_id % 3) AS tree, replace(({[p for p, _ in MODULES]})[1 + doc_id % {N}], '{{}}', (doc_id // 7)::VARCHAR) AS path, replace(list_value({', '.join(map(_text_sql, (b for _, b in MODULES)))})[1 + doc_id % {N}], '{{}}', ((doc_id * 5) % 97 // 7)::VARCHAR) AS body FROM documents)"
+
+
+def _modules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = F.col("doc_id")
+    pick = lambda i: F.element_at(F.array(*[F.lit(m[i]) for m in MODULES]), (d % N + 1).cast("int"))
+    path = F.replace(pick(0), F.lit("{}"), F.floor(d / 7).cast("string"))
+    body = F.replace(pick(1), F.lit("{}"), F.floor((d * 5) % 97 / 7).cast("string"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("r"), (d % 3).cast("string")).alias("tree"), path.alias("path"), body.alias("body"))
+
+
+NAMES_SQL = """(SELECT tree, path, n[1] AS a, n[2] AS b FROM (SELECT tree, path, unnest(list_zip(regexp_extract_all(body, '{p}', 1), regexp_extract_all(body, '{p}', 2))) AS n FROM {files} WHERE regexp_matches(path, '{ends}')))"""
+PY_SQL = f"(SELECT tree, path, CASE WHEN a <> '' THEN a ELSE b END AS name FROM {NAMES_SQL.format(p=re2(fixed.PYTHON_IMPORT), files=MODULES_SQL, ends=chr(92) + '.py$')})"
+JS_SQL = f"(SELECT tree, path, CASE WHEN a <> '' THEN a ELSE b END AS name FROM {NAMES_SQL.format(p=re2(fixed.SCRIPT_IMPORT), files=MODULES_SQL, ends=chr(92) + '.(ts|tsx|js|jsx|mjs|cjs)$')})"
+#: A path without steps that cancel, from the parts of its folder and its name.
+NORMAL_SQL = "(CASE WHEN np = '' THEN '.' ELSE np END)"
+STEPS_SQL = """list_reduce(list_transform(string_split(concat(regexp_extract(path, '^(.*)/[^/]*$', 1), '/', name), '/'), lambda s: [s]), lambda a, x: CASE WHEN x[1] IN ('', '.') THEN a WHEN x[1] = '..' AND len(a) > 0 AND a[-1] <> '..' THEN a[:-2] ELSE list_append(a, x[1]) END, []::VARCHAR[])"""
+JS_BASE_SQL = f"(SELECT tree, path, name, {NORMAL_SQL} AS base FROM (SELECT tree, path, name, array_to_string({STEPS_SQL}, '/') AS np FROM {JS_SQL} WHERE starts_with(name, '.')))"
+
+
+@query(f"""SELECT src, dst, kind, count(*)::BIGINT AS n FROM (SELECT path AS src, concat('py:', split_part(name, '.', 1)) AS dst, 'imports' AS kind FROM {PY_SQL} WHERE split_part(name, '.', 1) <> '' AND NOT starts_with(name, '_')
+  UNION ALL SELECT path, concat('pkg:', split_part(name, '/', 1)), 'imports' FROM {JS_SQL} WHERE NOT starts_with(name, '.') UNION ALL SELECT path, base, 'imports' FROM {JS_BASE_SQL} UNION ALL SELECT path, 'solidity', 'defines' FROM {MODULES_SQL} WHERE ends_with(path, '.sol')) GROUP BY ALL""")
+def imp_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imports.edges(_modules(spark, sf_dir)).groupBy("src", "dst", "kind").agg(F.count("*").alias("n"))
+
+
+TRIES_SQL = f"(SELECT unnest({list(fixed.SCRIPT_TRIES)}) AS e, unnest(range({len(fixed.SCRIPT_TRIES)})) AS i)"
+
+
+@query(f"""WITH f AS (SELECT DISTINCT tree, path FROM {MODULES_SQL}), m AS (SELECT tree, regexp_replace(replace(regexp_replace(path, '\\.py$', ''), '/', '.'), '\\.__init__$', '') AS name, max(path) AS dst FROM f WHERE ends_with(path, '.py') GROUP BY 1, 2),
+  p AS (SELECT n.tree, n.path AS src, coalesce(a.dst, b.dst) AS dst FROM {PY_SQL} n LEFT JOIN m a ON a.tree = n.tree AND a.name = n.name LEFT JOIN m b ON b.tree = n.tree AND b.name = split_part(n.name, '.', 1) WHERE n.name <> '' AND NOT starts_with(n.name, '_')),
+  s AS (SELECT j.tree, j.path AS src, arg_min(f.path, i) AS dst FROM {JS_BASE_SQL} j, {TRIES_SQL} t JOIN f ON f.path = concat(j.base, t.e) AND f.tree = j.tree WHERE regexp_matches(f.path, '\\.(ts|tsx|js|jsx|mjs|cjs)$') AND f.path <> j.path GROUP BY j.tree, j.path, j.base)
+  SELECT DISTINCT tree, src, dst FROM (SELECT * FROM p UNION ALL SELECT * FROM s) WHERE dst IS NOT NULL AND dst <> src""")
+def imp_file_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imports.file_edges(_modules(spark, sf_dir), tree="tree")
+
+
+@query(f"""SELECT tree, module, n FROM (SELECT tree, split_part(name, '.', 1) AS module, count(*)::BIGINT AS n FROM {PY_SQL} WHERE name <> '' AND NOT starts_with(name, '_') GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY tree ORDER BY n DESC, module) <= 10""")
+def imp_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten Python packages that most lines of a tree import."""
+    rows = _modules(spark, sf_dir).filter(F.endswith("path", F.lit(".py"))).select("tree", F.explode(imports.python_names(F.col("body"))).alias("name")).filter((F.col("name") != "") & ~F.startswith("name", F.lit("_")))
+    return tree.most(rows.groupBy("tree", F.split("name", r"\.")[0].alias("module")).agg(F.count("*").alias("n")), ["tree"], [F.desc("n"), F.col("module")], 10).drop("place")
+
+
+@query()
+def imp_capture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts of one tree; Python's imports are parsed, so SQL cannot state them."""
+    return imports.capture(_modules(spark, sf_dir).filter("tree = 'r0'"))
