@@ -221,3 +221,34 @@ SCRIPT_ENDS = ("ts", "tsx", "js", "jsx", "mjs", "cjs")
 SCRIPT_TRIES = ("", ".js", ".ts", ".jsx", ".tsx", "/index.js", "/index.ts")
 MAIN_GUARD = r"""(?m)^if\s+__name__\s*==\s*['"]__main__['"]"""
 PACKAGE_SECTIONS = ("dependencies", "devDependencies", "peerDependencies", "optionalDependencies")
+# Uploads and repositories: endings, names, server paths, first bytes, page types.
+ARCHIVE_ENDS = (".zip", ".tar.gz", ".tgz")
+UPLOAD_NAME = r"^[A-Za-z0-9][A-Za-z0-9 ._+@()-]{0,180}$"
+SERVER_PATH = r"^(?:documents|files)/[A-Za-z0-9_-]{1,64}(?:\.[A-Za-z0-9]{1,8})?$"
+ZIP_HEADS, GZIP_HEAD = ("504B0304", "504B0506", "504B0708"), "1F8B"
+REPOSITORY_NAME = r"^[A-Za-z0-9_.-]+$"
+BRANCH_NAME = r"^[A-Za-z0-9._/-]+$"
+PAGE_TYPES = ("text/html", "application/xhtml", "text/plain")
+# Parts of a rule's name that keep a tree from being sealed.
+SEALING_HINTS = ("secret", "credential", "private", "key", "token", "password", "passwd", "pem", "auth", "bearer", "aws", "jwt", "conn_string", "connection_string")
+# Words for old machines, by group.
+OLD_MACHINES = (
+    ("bbs", "fidonet", "bulletin board", "sysop"),
+    ("dial-up", "dialup", "56k", "modem", "handshake"),
+    ("2400", "baud", "acoustic coupler"),
+    ("floppy", "diskette", "1.44"),
+    ("crt", "phosphor", "terminal green", "amber", "vt100", "ansi"),
+    ("turbo button", "turbo"),
+    ("solder", "soldering", "flux", "cold joint", "breadboard"),
+    ("dos", "command.com", "autoexec", "batch file"),
+    ("irc", "efnet", "channel op"),
+    ("amiga", "commodore", "c64", "zx spectrum", "atarist", "atari"),
+    ("punch card", "mainframe", "cobol", "tape reel", "jcl"),
+    ("cassette", "vhs", "minidisc", "walkman", "8-track"),
+    ("game boy", "nes", "snes", "cartridge", "pixel"),
+    ("arcade", "quarter", "cabinet", "joystick"),
+    ("usenet", "newsgroup", "gopher", "finger", "telnet", "wais"),
+    ("dot matrix", "line printer", "tractor feed", "fanfold"),
+)
+# Headers that hold payment terms, in the order they are read.
+PAYMENT_HEADERS = ("payment-required", "x-payment-required", "x-402-payment-required")
