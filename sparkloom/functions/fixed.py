@@ -252,3 +252,5 @@ OLD_MACHINES = (
 )
 # Headers that hold payment terms, in the order they are read.
 PAYMENT_HEADERS = ("payment-required", "x-payment-required", "x-402-payment-required")
+# Commands that a caller may not ask for again too soon.
+EXPENSIVE = ("audit", "debug", "map", "crawl", "sitemap", "bundle")
