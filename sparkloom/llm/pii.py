@@ -7,8 +7,10 @@ Kinds and their checks:
 ``card``              13 to 19 digits that pass Luhn
 ``iban``              the length its country registers, and mod 97 of the rearranged letters and digits is 1
 ``ssn``               three, two and four digits in groups, only beside a word that names such a number
+``secret``            a key of a known form, or a value given to a password or token: letters and digits, of at least
+                      eight different characters
 
-The first four are the base spans, which always stay. The other two are added by score: an expression
+The first four are the base spans, which always stay. The others are added by score: an expression
 gives 0.4, a passed checksum 0.4 more, a context word within ``NEAR`` characters 0.3 more, and a word that
 speaks of examples 0.2 less; spans of at least ``LEAST_SCORE`` are kept. Positions count code points.
 
@@ -34,7 +36,7 @@ from pyspark.sql import functions as F
 from sparkloom.llm.common import free_name
 
 BASE = ("email", "ip", "card", "phone")
-ADDED = ("iban", "ssn")
+ADDED = ("iban", "ssn", "secret")
 #: What proposes a span of each kind.
 PATTERNS = {
     "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
@@ -43,10 +45,11 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "iban": r"\b(?=[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2})",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
+    "secret": r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}(?![A-Za-z0-9])|gh[pousr]_[A-Za-z0-9]{36,}+|(?i:passw(?:or)?d|passphrase|pwd|token|secret|api[_-]?key)\x20?[:=]\x20?[\"']?[A-Za-z0-9+/_.-]{12,}+)",
 }
 #: A character that every match of the kind has, for a cheap first look.
-NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+", "iban": None, "ssn": "-"}
-LOOKS = {"iban": "[A-Z]{2}[0-9]{2}", "card": r"[0-9][\x20-]?[0-9]"}
+NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+", "iban": None, "ssn": "-", "secret": None}
+LOOKS = {"iban": "[A-Z]{2}[0-9]{2}", "card": r"[0-9][\x20-]?[0-9]", "secret": "AKIA|gh[pousr]_|(?i:passw|passph|pwd|token|secret|key)"}
 #: Words that speak for a kind, and words that speak against any.
 CONTEXT = {
     "email": "mail|contact|write to|reply",
@@ -55,6 +58,7 @@ CONTEXT = {
     "phone": "phone|call|tel|mobile|fax",
     "iban": "iban|account|bank|transfer",
     "ssn": "ssn|social security|tax id",
+    "secret": "login|access|account|credential|key",
 }
 AGAINST = "example|sample|test|dummy"
 NEAR, LEAST_SCORE = 40, 0.7
@@ -107,6 +111,9 @@ def _passes(kind: str, match: Column) -> Column:
     if kind == "iban":
         solid = F.replace(match, F.lit(" "), F.lit(""))
         return F.when(F.length(solid).between(15, 34), mod97(solid)).otherwise(False)
+    if kind == "secret":
+        value = F.regexp_extract(match, r"([A-Za-z0-9+/_.-]+)$", 1)
+        return value.rlike("[0-9]") & value.rlike("[A-Za-z]") & (F.size(F.array_distinct(F.split(value, ""))) >= 8)
     return F.lit(True)
 
 
@@ -194,7 +201,7 @@ def _ibans(pieces: Column, heads: Column) -> Column:
 def _score(pieces: Column, kind: str, span: Column) -> Column:
     begin = F.greatest(span["start"] - NEAR, F.lit(0))
     around = F.lower(F.concat(_read(pieces, begin, span["start"] - begin), F.lit(" "), _read(pieces, span["end"], NEAR)))
-    checked = 0.4 if kind in ("card", "iban", "ip") else 0.0
+    checked = 0.4 if kind in ("card", "iban", "ip", "secret") else 0.0
     near = F.when(around.rlike(rf"\b(?:{CONTEXT[kind]})\b"), 0.3).otherwise(0.0)
     return F.round(F.lit(0.4 + checked) + near - F.when(around.rlike(rf"\b(?:{AGAINST})"), 0.2).otherwise(0.0), 2)
 
@@ -226,10 +233,10 @@ def _digest(spans: Column) -> Column:
 
 
 def pii_report(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans), one row per input row."""
+    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_spans), one row per input row; ``n_spans`` counts all kinds."""
     found = find_pii(df.select(F.col(f"`{doc_id}`").alias(doc_id), F.col(f"`{text}`").alias("pii_source")), "pii_source").drop("pii_source")
     base = F.filter("pii", lambda s: s["kind"].isin(*BASE))
-    return found.select(doc_id, *[_count(kind) for kind in BASE], F.sha2(_digest(base), 256).alias("base_sha256"), _digest(F.col("pii")).alias("spans"))
+    return found.select(doc_id, *[_count(kind) for kind in BASE], F.sha2(_digest(base), 256).alias("base_sha256"), _digest(F.col("pii")).alias("spans"), F.size("pii").cast("long").alias("n_spans"))
 
 
 def _count(kind: str) -> Column:
