@@ -29,8 +29,8 @@ from sparkloom.llm.common import broadcast_if_small, cut
 
 SEED, EPOCHS, SHARE = "mix-1", 2, 0.6
 LEVELS = ("domain", "lang", "source")
-#: Parts of a leaf's seeded order that are summed apart.
-PARTS = 1024
+#: Parts of a leaf's seeded order that are summed apart: at least so many, and so many rows in one if a leaf has all.
+PARTS, PART_ROWS = 1024, 500_000
 
 
 def n_tokens(text: Column) -> Column:
@@ -95,13 +95,14 @@ def mix(
     t = F.col(f"`{text}`").cast("string")
     rows = df.select(F.col(f"`{doc_id}`").alias(doc_id), *[F.coalesce(c.cast("string"), F.lit("-")).alias(n) for n, c in levels.items()], n_tokens(t).alias("tokens"), F.crc32(F.encode(t, "UTF-8")).alias("mark"))
     rows = cut(rows.filter("tokens > 0"))
-    total = rows.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("n")).first()["n"]
+    total, count = rows.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.count("*")).first()
+    parts = max(PARTS, -(-count // PART_ROWS))
     leaves = rows.groupBy(*names).agg((F.sum("tokens") * epochs).cast("double").alias("capacity"))
     plan = broadcast_if_small(cut(budgets(leaves, names, float(int(total * share)), weights)))
 
     key = F.concat_ws("|", F.lit(seed), F.col("epoch").cast("string"), F.coalesce(F.col(doc_id).cast("string"), F.lit("null")), F.col("mark").cast("string"))
     drawn = rows.withColumn("epoch", F.explode(F.sequence(F.lit(1), F.lit(epochs)))).withColumn("draw", F.md5(key))
-    drawn = drawn.withColumn("part", F.floor(F.conv(F.substring("draw", 1, 8), 16, 10).cast("double") / 2**32 * PARTS).cast("int"))
+    drawn = drawn.withColumn("part", F.floor(F.conv(F.substring("draw", 1, 8), 16, 10).cast("double") / 2**32 * parts).cast("int"))
     sums = drawn.groupBy(*names, "epoch", "part").agg(F.sum("tokens").alias("sum"))
     before = Window.partitionBy(*names).orderBy("epoch", "part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select(*names, "epoch", "part", F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("offset"))
