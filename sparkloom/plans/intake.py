@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.functions import fixed
-from sparkloom.operators import intake
+from sparkloom.operators import intake, manifests
 from sparkloom.plans.documents import _literal
 from sparkloom.plans.registry import query
 from sparkloom.session import table
@@ -165,3 +165,43 @@ ODDMENTS = [("high", "secret:jwt", "Agent/1.0", "/a", "/a/b", "0.5"), ("CRITICAL
 def in_oddments(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _cases(spark, sf_dir, ODDMENTS, "severity string, rule string, ua string, root string, path string, n string")
     return rows.select("doc_id", intake.blocks_sealing(F.col("severity"), F.col("rule")).alias("blocks"), intake.agent(F.col("ua")).alias("agent"), intake.is_inside(F.col("root"), F.col("path")).alias("inside"), intake.in_range(F.col("n"), 0.0, 1.0).alias("in_range"))
+
+
+#: One manifest of each kind, and how many lines of the plain ones are repeated.
+FILES = [
+    ("requirements.txt", "pypi", "flask==2.0\nrequests>=2.1 # c\n-r x\nname\nnumpy ~= 1.2; x\n" + "".join(f"p{i}==1.{i}\n" for i in range(30))), ("go.mod", "go", "module x\nrequire github.com/a/b v1.2.3\nrequire (\n\tgithub.com/c/d v0.1.0\n)\n"),
+    ("Cargo.toml", "cargo", '[package]\nname = "x"\n[dependencies]\nserde = "1.0"\ntokio = { version = "1.2", features = [] }\n# no = "1"\n[dev-dependencies]\nrand = "0.8"\n[other]\nz = "9"'),
+    ("package.json", "npm", '{"dependencies": {"@a/b": "1.0", "c": "*"}, "devDependencies": {"d": "2"}, "scripts": {"x": "y"}}'), ("package.json", "npm", "{broken"), ("pom.xml", "maven", "<artifactId>one</artifactId><version>1</version><artifactId> two</artifactId>"),
+    ("Gemfile", "rubygems", "gem 'rails', '7.0'\ngem \"puma\"\n# gem 'no'\n"), ("composer.json", "composer", '{"require": {"php": "8", "x/y": "1"}, "require-dev": {"t/u": "2"}}'), ("pubspec.yaml", "pub", "name: x\ndependencies:\n  http: ^1.0\n  path: 2.0\nother:\n  no: 1\n"),
+    ("build.gradle", "gradle", "implementation 'a.b:c:1.0'\n  testImplementation(\"d:e:2\")\nfoo 'x:y:1'\n"), ("packages.config", "nuget", '<PackageReference Include="N" Version="3.1" />\n<PackageReference Version="1" Include="M" />\n'), ("Project.toml", "julia", 'name = "x"\nversion = "1"\nA = "0.1"\nB="2"\n'), ("x.bin", "unknown", "a==1"),
+]
+PARSER_SQL = "CASE eco " + " ".join(f"WHEN '{e}' THEN '{p}'" for e, p in fixed.PARSERS.items()) + " END"
+
+
+def _named_sql(group: int) -> str:
+    return "CASE parser " + " ".join(f"WHEN '{k}' THEN regexp_extract(raw, '{p.replace(chr(39), chr(39) * 2)}', {group})" for k, p in fixed.DEP_LINES.items() if group < 3 or k == "cargo") + " ELSE '' END"
+
+
+def _sections_sql(parser: str, sections: list[str]) -> str:
+    keys = "[" + ", ".join(f"'{s}'" for s in sections) + "]"
+    return f"""SELECT path, eco, 1000000 * s + pos AS ord, k AS name, body::JSON->sec->>k AS version FROM (SELECT path, eco, body, sec, s, unnest(ks) AS k, unnest(range(len(ks))) AS pos FROM (SELECT path, eco, body, sec, s, coalesce(json_keys(body::JSON->sec), []) AS ks
+      FROM (SELECT path, eco, body, unnest({keys}) AS sec, unnest(range({len(sections)})) AS s FROM f WHERE parser = '{parser}' AND json_valid(body))))"""
+
+
+@query(f"""WITH f AS (SELECT concat(doc_id, '/', name) AS path, eco, body, {PARSER_SQL} AS parser FROM {_cases_sql(FILES, 'name, eco, body')}),
+  r AS (SELECT path, eco, parser, pos, CASE WHEN parser = 'go' AND starts_with(trim(ls[pos]), 'require') THEN trim(regexp_replace(trim(ls[pos]), '^[require]+', '')) ELSE ls[pos] END AS raw FROM (SELECT path, eco, parser, ls, unnest(range(1, len(ls) + 1)) AS pos FROM (SELECT *, string_split(rtrim(body, chr(10)), chr(10)) AS ls FROM f WHERE parser IN {tuple(fixed.DEP_LINES)}))),
+  s AS (SELECT *, last_value(CASE WHEN parser = 'cargo' AND regexp_matches(trim(raw), '^\\[.*\\]$') THEN lower(regexp_replace(trim(raw), '[\\[\\] ]', '', 'g')) WHEN parser = 'pub' AND regexp_matches(raw, '^[a-zA-Z_]+:') THEN regexp_extract(raw, '^([a-zA-Z_]+):', 1) END IGNORE NULLS) OVER (PARTITION BY path ORDER BY pos) AS section FROM r),
+  n AS (SELECT path, eco, parser, pos AS ord, {_named_sql(1)} AS name, CASE WHEN {_named_sql(2)} <> '' THEN {_named_sql(2)} ELSE {_named_sql(3)} END AS v FROM s WHERE CASE parser WHEN 'cargo' THEN section IN ('dependencies', 'dev-dependencies', 'build-dependencies') AND NOT starts_with(trim(raw), '#') WHEN 'pub' THEN section IN ('dependencies', 'dev_dependencies') ELSE true END),
+  d AS (SELECT path, eco, ord, name, CASE WHEN v = '' THEN '*' ELSE v END AS version FROM n WHERE name <> '' AND NOT (parser = 'toml' AND name IN ('name', 'version', 'description', 'edition')) UNION ALL {_sections_sql('npm', ['dependencies', 'devDependencies', 'peerDependencies', 'optionalDependencies'])}
+    UNION ALL SELECT * FROM ({_sections_sql('composer', ['require', 'require-dev'])}) WHERE name <> 'php' UNION ALL SELECT path, eco, pos, a[pos], coalesce(v[pos], '*') FROM (SELECT path, eco, a, v, unnest(range(1, len(a) + 1)) AS pos FROM (SELECT path, eco, regexp_extract_all(body, '<artifactId>\\s*([^<]+)\\s*</artifactId>', 1) AS a, regexp_extract_all(body, '<version>\\s*([^<]+)\\s*</version>', 1) AS v FROM f WHERE parser = 'pom')))
+  SELECT path, eco, name, version FROM d QUALIFY row_number() OVER (PARTITION BY path ORDER BY ord, name) <= {fixed.DEPS_EACH}""")
+def dep_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dependencies of a manifest for each document."""
+    rows = _cases(spark, sf_dir, FILES, "name string, eco string, body string")
+    return manifests.dependencies(rows.select(F.concat_ws("/", F.col("doc_id").cast("string"), "name").alias("path"), "eco", "body"))
+
+
+@query(f"""SELECT eco, name, version FROM (SELECT DISTINCT eco, name, version FROM (VALUES {_literal([('npm', '@a/b', '1.0'), ('npm', 'c', '*'), ('npm', 'd', '2'), ('composer', 'x/y', '1'), ('composer', 't/u', '2'), ('maven', 'one', '1'), ('maven', 'two', '*')])}) AS v(eco, name, version)) ORDER BY ALL LIMIT 400""")
+def dep_sbom(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The inventory of all JSON and XML manifests: each dependency once, in order."""
+    return manifests.sbom(dep_files(spark, sf_dir).filter("eco in ('npm', 'composer', 'maven')"))
