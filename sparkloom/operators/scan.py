@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sparkloom.functions import fixed, text
+from sparkloom.functions import fixed, needles, text
 
 FINDING = "path string, rule string, severity string, line int, detail string, snippet string, snippet_sha256 string, receipt string"
 
@@ -27,10 +27,13 @@ def java(pattern: str) -> str:
 
 
 def flags(df: DataFrame, column: str, rules: list[tuple[str, str, int]]) -> DataFrame:
-    """A row (rule, score, severity) for each rule that matches, beside the other columns."""
-    t = F.col(column)
-    hits = F.array_compact(F.array(*[F.when(t.rlike(pattern), F.struct(F.lit(rule).alias("rule"), F.lit(score).alias("score"))) for rule, pattern, score in rules]))
-    return df.withColumn("hit", F.explode(hits)).select(*[c for c in df.columns if c != column], F.col("hit.rule").alias("rule"), F.col("hit.score").alias("score"), text.severity(F.col("hit.score")).alias("severity"))
+    """A row (rule, score, severity) for each rule that matches, beside the other columns.
+
+    A rule's expression is tried only where the text has a string that every match of it has.
+    """
+    t, low = F.col(column), F.col("text_folded")
+    hits = F.array_compact(F.array(*[F.when(needles.likely(low, pattern) & t.rlike(pattern), F.struct(F.lit(rule).alias("rule"), F.lit(score).alias("score"))) for rule, pattern, score in rules]))
+    return df.withColumn("text_folded", needles.folded(t)).withColumn("hit", F.explode(hits)).select(*[c for c in df.columns if c != column], F.col("hit.rule").alias("rule"), F.col("hit.score").alias("score"), text.severity(F.col("hit.score")).alias("severity"))
 
 
 def _masked(token: str) -> str:
@@ -39,11 +42,14 @@ def _masked(token: str) -> str:
 
 
 def findings(df: DataFrame, path: str, column: str, rules: list[tuple[str, str, int]] | None = None, examples: bool = False) -> DataFrame:
-    """Every match of every rule: line, masked snippet, digest and receipt. Placeholders are dropped unless ``examples``."""
+    """Every match of every rule: line, masked snippet, digest and receipt. Placeholders are dropped unless ``examples``.
+
+    Texts that have none of the strings that a match must have never leave the JVM, if every rule has such strings.
+    """
     rules = rules or [*fixed.SECRETS, *fixed.RISKS]
 
     def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        packs = [(name, re.compile(p), score) for name, p, score in rules]
+        packs = [(name, re.compile(p), score, needles.needles(p)) for name, p, score in rules]
         secrets = [re.compile(p) for _, p, _ in fixed.SECRETS]
         example = re.compile(fixed.EXAMPLE)
         for frame in frames:
@@ -51,8 +57,10 @@ def findings(df: DataFrame, path: str, column: str, rules: list[tuple[str, str,
             for own, body in zip(frame["path"], frame["body"], strict=True):
                 if not isinstance(body, str):
                     continue
-                shown = None
-                for name, pattern, score in packs:
+                shown, low = None, needles.fold(body)
+                for name, pattern, score, some in packs:
+                    if some and not any(n in low for n in some):
+                        continue
                     for m in pattern.finditer(body):
                         if not examples and example.search(m[0]):
                             continue
@@ -70,7 +78,11 @@ def findings(df: DataFrame, path: str, column: str, rules: list[tuple[str, str,
                         out.append((own, name, sev, line, _masked(m[0]), snippet, digest, f"sha256:{mark}"))
             yield pd.DataFrame(out, columns=[x.split()[0] for x in FINDING.split(", ")])
 
-    return df.select(F.col(path).cast("string").alias("path"), F.col(column).alias("body")).mapInPandas(scan, FINDING)
+    rows = df.select(F.col(path).cast("string").alias("path"), F.col(column).alias("body"))
+    if all(needles.needles(p) for _, p, _ in rules):
+        low = needles.folded(F.col("body"))
+        rows = rows.filter(functools.reduce(Column.__or__, [F.contains(low, F.lit(n)) for n in sorted({n for _, p, _ in rules for n in needles.needles(p)})]))
+    return rows.mapInPandas(scan, FINDING)
 
 
 def merged(a: DataFrame, b: DataFrame) -> DataFrame:

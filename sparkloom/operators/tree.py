@@ -10,8 +10,6 @@ import functools
 import hashlib
 import re
 from collections.abc import Iterable, Iterator
-from re import _constants as op
-from re import _parser as parser
 from typing import NamedTuple
 
 import pandas as pd
@@ -20,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sparkloom.functions import fixed, packs, text
+from sparkloom.functions.needles import fold, needles
 from sparkloom.operators import scan, state
 
 #: Findings kept of one tree, and hot spots, dependencies and paths of each class.
@@ -145,39 +144,6 @@ def rules_for(lang: str | None) -> list[Rule]:
     return [*SECRETS, *COMMON, *pack_of(lang), *SUPPLY]
 
 
-def _literals(parts: Iterable) -> frozenset[str] | None:
-    """Strings one of which is in any match, in lower case; the set whose shortest is longest, or None."""
-    found, run = [], ""
-    for kind, value in [*parts, (None, None)]:
-        if kind is op.LITERAL:
-            run += chr(value)
-            continue
-        if run:
-            found.append(frozenset((run,)))
-        run, inner = "", None
-        if kind is op.SUBPATTERN:
-            inner = _literals(value[3])
-        elif kind in (op.MAX_REPEAT, op.MIN_REPEAT) and value[0] > 0:
-            inner = _literals(value[2])
-        elif kind is op.BRANCH:
-            ways = [_literals(x) for x in value[1]]
-            inner = None if None in ways else frozenset().union(*ways)
-        if inner:
-            found.append(inner)
-    return max((frozenset(fold(x) for x in s) for s in found), key=lambda s: min(map(len, s)), default=None)
-
-
-def fold(value: str) -> str:
-    """Lower case, with the letters that match i and s in any case."""
-    return value.lower().replace("ı", "i").replace("ſ", "s")
-
-
-@functools.cache
-def needles(pattern: str) -> tuple[str, ...]:
-    """Strings one of which every match has, once folded; none if the pattern names no text."""
-    return tuple(sorted(_literals(parser.parse(pattern)) or ()))
-
-
 class Scanner:
     """Compiled rules of each language, and the strings that a text must have for a rule to be tried."""
 

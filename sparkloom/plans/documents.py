@@ -92,7 +92,8 @@ INJECTED_SQL = f"""SELECT doc_id, {' + '.join(f"(regexp_matches(seen, '(?i){re2(
 @query(f"""SELECT doc_id, n_flags::INT AS n_flags, score::INT AS score, CASE WHEN score >= 85 THEN 'TRUSTED' WHEN score >= 60 THEN 'CAUTION' ELSE 'HOSTILE' END AS verdict
   FROM (SELECT doc_id, n_flags, greatest(0, least(100, 100 - cost - least(zw, 15) - least(3 * bd, 20))) AS score FROM ({INJECTED_SQL}))""")
 def doc_injection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _docs(spark, sf_dir).select("doc_id", trust.n_injections(F.col("text")).cast("int").alias("n_flags"), trust.trust_score(F.col("text")).alias("score"))
+    rows = _docs(spark, sf_dir).withColumn("hits", trust.hits(F.col("text")))
+    rows = rows.select("doc_id", trust.n_injections(F.col("hits")).cast("int").alias("n_flags"), trust.trust_score(F.col("text"), flags=F.col("hits")).alias("score"))
     return rows.withColumn("verdict", trust.verdict(F.col("score")))
 
 
