@@ -254,3 +254,12 @@ OLD_MACHINES = (
 PAYMENT_HEADERS = ("payment-required", "x-payment-required", "x-402-payment-required")
 # Commands that a caller may not ask for again too soon.
 EXPENSIVE = ("audit", "debug", "map", "crawl", "sitemap", "bundle")
+# Kinds of questions.
+QUESTION_TYPES = ("choice", "score", "noul")
+# Files that the nodes of an audit read, and directories that they and contract scans pass over.
+NODE_ENDS = (".py", ".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", ".go", ".rs", ".sol", ".java", ".rb", ".php", ".sh", ".bash", ".yml", ".yaml", ".json", ".toml", ".env", ".cfg", ".ini")
+NODE_NAMES = ("Dockerfile", "Makefile")
+NODE_SKIPPED = ("node_modules", ".next", ".git", "dist", "build", "out", "cache", "artifacts", "vendor", "lib", "__pycache__", ".venv", "venv", ".turbo", "coverage", ".openclaw")
+CONTRACT_SKIPPED = ("node_modules", ".next", "lib", "vendor", "out", "cache", "artifacts", ".git")
+# Paths of tests, as the deep report has them.
+DEEP_TEST_NAME, DEEP_TEST_DIR = r"(?i)(^test_|_test\.|\.test\.|\.spec\.|^test\.|Test\.(java|kt|cs)$)", r"(^|/)(tests?|__tests__|spec)/"

@@ -109,6 +109,29 @@ def is_skipped(path: Column) -> Column:
     return F.exists(dirs, lambda d: d.isin(*packs.SKIPPED_DIRS) | F.startswith(d, F.lit(".venv")))
 
 
+def _inside(path: Column, names: tuple[str, ...]) -> Column:
+    steps = F.split(path, "/")
+    return F.exists(F.slice(steps, 1, F.greatest(F.size(steps) - 1, F.lit(0))), lambda d: d.isin(*names))
+
+
+def is_node_file(path: Column) -> Column:
+    """Whether the nodes of an audit read a file."""
+    return (F.lower(end(path)).isin(*fixed.NODE_ENDS) | base(path).isin(*fixed.NODE_NAMES)) & ~_inside(path, fixed.NODE_SKIPPED)
+
+
+def is_contract(path: Column) -> Column:
+    return F.endswith(path, F.lit(".sol")) & ~_inside(path, fixed.CONTRACT_SKIPPED)
+
+
+def is_code(path: Column) -> Column:
+    """Whether a file is in the import graph."""
+    return F.lower(end(path)).isin(*[f".{e}" for e in fixed.AUDIT_ENDS]) & ~is_skipped(path)
+
+
+def is_deep_test(path: Column) -> Column:
+    return base(path).rlike(fixed.DEEP_TEST_NAME) | path.rlike(fixed.DEEP_TEST_DIR)
+
+
 def entrypoint(lang: Column, body: Column) -> Column:
     """Whether a file of just this language starts a program."""
     return F.coalesce(functools.reduce(Column.__or__, [(lang == of) & body.rlike(scan.java(p)) for p, of in packs.ENTRYPOINTS]), F.lit(False))

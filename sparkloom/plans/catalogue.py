@@ -12,7 +12,7 @@ from sparkloom.operators import html, trust
 from sparkloom.plans.registry import QUERIES, SQL, Query
 from sparkloom.session import table
 
-for _name in ("documents", "web", "talk", "events", "graphs", "code", "typed", "intake", "reports"):
+for _name in ("documents", "web", "talk", "events", "graphs", "code", "typed", "intake", "reports", "gates"):
     import_module(f"sparkloom.plans.{_name}")
 
 
