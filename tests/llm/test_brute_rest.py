@@ -212,13 +212,21 @@ def plain_added(text):
 
     spans = [("iban", a, b) for a, b in plain_iban(text) if score("iban", a, b, 0.8) >= 0.7]
     ssn = [(m.start(), m.end()) for m in re.finditer(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", text)]
-    return spans + [("ssn", a, b) for a, b in ssn if score("ssn", a, b, 0.4) >= 0.7]
+    spans += [("ssn", a, b) for a, b in ssn if score("ssn", a, b, 0.4) >= 0.7]
+    shape = r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}(?![A-Za-z0-9])|gh[pousr]_[A-Za-z0-9]{36,}|(?i:passw(?:or)?d|passphrase|pwd|token|secret|api[_-]?key) ?[:=] ?[\"']?([A-Za-z0-9+/_.-]{12,}))"
+    for m in re.finditer(shape, text):
+        value = m[1] or m[0]
+        if re.search("[0-9]", value) and re.search("[A-Za-z]", value) and len(set(value)) >= 8 and score("secret", *m.span(), 0.8) >= 0.7:
+            spans.append(("secret", *m.span()))
+    return spans
 
 
 def test_added_spans_equal_plain(spark):
     good = ["AT611904300234573201", "BE68 5390 0754 7034", "DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432", "XX00ABCD12345678"]
     texts = [f"{a} IBAN {g} {b}" for g in good for a in ("", "é𝄞 my account", "example") for b in ("", "BIC", "EUR 12", ", bank", "X")]
     texts += ["ssn 123-45-6789 and 123-45-67890", "123-45-6789", "x" * 41 + " 123-45-6789 " + "tax id", "tax id " + "y" * 33 + " 123-45-6789", " ".join(good * 60), "AT61AT611904300234573201", "A" * 200 + " " + good[0], "12 " * 21 + good[1], "", None]
+    token = hashlib.sha1(b"x").hexdigest()
+    texts += [f"the password={token[:18]} is", f'a token = "{token}" b', f"api_key:{token}", f"secret: {token} sample", f"login secret: {token} sample", "password=aaaaaaaaaaaaaaaaaaaa", "token = 12345678901234", "xtoken=" + token, "AKIA" + "Q7ER2YUIOP3SDFGH", "AKIA" + "Q7ER2YUIOP3SDFGHX", "ghp_" + token, "PWD=" + token + "é", "token =  " + token]
     texts += ["card 4111 1111 1111 1111, " + good[0] + " mail a@b.co"] * 2
     rows = {r["doc_id"]: r for r in pii.pii_report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "1 as pii", "2 as pii_text", "3 as pii_iban")).collect()}
     fired = 0
@@ -226,7 +234,7 @@ def test_added_spans_equal_plain(spark):
         added = plain_added(t or "")
         fired += len(added)
         want = ",".join(filter(None, [base(t)[1], *(f"{k}:{a}:{b}" for k, a, b in added)]))
-        assert rows[i]["spans"] == want, (i, t)
+        assert rows[i]["spans"] == want and rows[i]["n_spans"] == want.count(":") // 2, (i, t)
     assert fired > 300 and luhn("4111111111111111")
 
 
