@@ -8,11 +8,12 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.functions import fixed
-from sparkloom.operators import intake, manifests
+from sparkloom.functions import fixed, text
+from sparkloom.operators import intake, manifests, policy
 from sparkloom.plans.documents import _literal
 from sparkloom.plans.registry import query
 from sparkloom.session import table
+from sparkloom.sources import trees
 
 
 def _cases_sql(rows: list[tuple], names: str) -> str:
@@ -205,3 +206,18 @@ def dep_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dep_sbom(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The inventory of all JSON and XML manifests: each dependency once, in order."""
     return manifests.sbom(dep_files(spark, sf_dir).filter("eco in ('npm', 'composer', 'maven')"))
+
+
+MEMBERS = ["w/a.py", "../evil", "/abs", "a\\b", "C:x", "", "a/../b", "a/..b", "w/.hidden", "a//b", None]
+MAPS = [
+    "<urlset><url><loc>https://x/a</loc></url><url><loc> http://x/b?c=1&amp;d=2 </loc></url><loc>ftp://x/c</loc></urlset>", '<?xml version="1.0"?><s:sitemapindex xmlns:s="u"><s:LOC>https://x/m.xml</s:LOC></s:sitemapindex>', "<!DOCTYPE x [<!ENTITY a 'b'>]><loc>https://x/</loc>", "<loc>https://x/" + "y" * 2050 + "</loc>", "no xml", "",
+]
+
+
+@query(f"""SELECT doc_id, coalesce(path <> '' AND NOT starts_with(path, '/') AND NOT contains(path, chr(92)) AND NOT regexp_matches(path, '^[A-Za-z]:') AND NOT list_contains(string_split(path, '/'), '..'), false) AS safe,
+  CASE WHEN regexp_matches(xml, '(?i)<!ENTITY|<!DOCTYPE') THEN '' ELSE array_to_string(list_filter(list_transform(regexp_extract_all(xml, '(?is)<(?:\\w+:)?loc>\\s*([^<\\s]+)\\s*</(?:\\w+:)?loc>', 1), lambda u: replace(u, '&amp;', '&')), lambda u: regexp_matches(u, '^https?://') AND length(u) <= 2048), ' ') END AS locations,
+  CASE WHEN doc_id % 20 >= 9 THEN 'critical' WHEN doc_id % 20 >= 7 THEN 'high' WHEN doc_id % 20 >= 5 THEN 'medium' ELSE 'low' END AS severity FROM {_cases_sql([(p,) for p in MEMBERS], 'path')} JOIN {_cases_sql([(x,) for x in MAPS], 'xml')} USING (doc_id)""")
+def in_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths of archive members, locations of site maps, and the other scale of severities."""
+    rows = _cases(spark, sf_dir, [(p,) for p in MEMBERS], "path string").join(_cases(spark, sf_dir, [(x,) for x in MAPS], "xml string"), "doc_id")
+    return rows.select("doc_id", F.coalesce(trees.safe_member(F.col("path")), F.lit(False)).alias("safe"), F.array_join(policy.sitemap_locations(F.col("xml")), " ").alias("locations"), text.severity_node(F.col("doc_id") % 20).alias("severity"))
