@@ -58,4 +58,39 @@ SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'key' AS
   row_number() OVER (PARTITION BY shard ORDER BY part, doc_id, text_crc32, size) - 1 AS slot, CASE WHEN r8 < least(r0, r1) THEN 8 ELSE shard END::INT AS grown_shard FROM p
 """
 
-SQL: dict[str, str] = {"op3_sharding": SHARDING, "op8_decontamination": DECONTAMINATION}
+
+
+def _filled(level: int) -> str:
+    """Shares of the nodes of a level: what their parents got, poured in until each is full or the level is even."""
+    names = ", ".join(("domain", "lang", "source")[:level])
+    parents = ", ".join(("domain", "lang", "source")[: level - 1])
+    over = f"PARTITION BY {parents}" if parents else ""
+    join = f"JOIN g{level - 1} USING ({parents})" if parents else "CROSS JOIN g0"
+    return f"""c{level} AS (SELECT {names}, sum(cap) AS cap FROM leaves GROUP BY {names}),
+  l{level} AS (SELECT {names}, cap, (got - coalesce(sum(cap) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / (count(*) OVER ({over}) - (row_number() OVER w - 1)) AS lev FROM c{level} {join} WINDOW w AS ({over} ORDER BY cap, {names})),
+  g{level} AS (SELECT {names}, greatest(0.0, least(cap, max(lev) OVER ({over}))) AS got FROM l{level})"""
+
+
+#: Three fifths of all tokens, shared down domain, language and source, then taken in seeded order in up to two epochs.
+MIXING = f"""
+WITH r AS (SELECT doc_id, concat('domain', {crc32("encode(coalesce(source, '-'))")} % 4) AS domain, coalesce(lang, '-') AS lang, coalesce(source, '-') AS source, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) AS tokens, {crc32("encode(text)")} AS mark FROM documents WHERE text IS NOT NULL),
+  rows AS (SELECT * FROM r WHERE tokens > 0), leaves AS (SELECT domain, lang, source, (sum(tokens) * 2)::DOUBLE AS cap FROM rows GROUP BY ALL),
+  g0 AS (SELECT least((SELECT sum(cap) FROM leaves), floor((SELECT sum(tokens) FROM rows) * 0.6::DOUBLE)) AS got), {_filled(1)}, {_filled(2)}, {_filled(3)},
+  drawn AS (SELECT rows.*, epoch, md5(concat('mix-1|', epoch, '|', doc_id, '|', mark)) AS draw FROM rows, (VALUES (1), (2)) AS e(epoch)),
+  placed AS (SELECT *, coalesce(sum(tokens) OVER (PARTITION BY domain, lang, source ORDER BY epoch, draw, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM drawn)
+SELECT doc_id, domain, lang, source, tokens::BIGINT AS tokens, epoch::INT AS epoch, start::BIGINT AS start, least(tokens, budget - start)::BIGINT AS take, budget::BIGINT AS budget FROM placed JOIN (SELECT domain, lang, source, floor(got + 1e-6) AS budget FROM g3) USING (domain, lang, source) WHERE start < budget
+"""
+
+#: Every pair of adjacent lines that stands at an earlier place which shares no line with it; ids stand for rows.
+LINES = """
+WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
+  p AS (SELECT doc_id, pos, ls[pos + 1] AS a, ls[pos + 2] AS b FROM (SELECT doc_id, ls, unnest(range(len(ls) - 1)) AS pos FROM d WHERE len(ls) > 1)),
+  f AS (SELECT a, b, min({'d': doc_id, 'pos': pos}) AS first FROM p GROUP BY a, b HAVING count(*) > 1),
+  g AS (SELECT DISTINCT doc_id, unnest([pos, pos + 1]) AS i FROM p JOIN f USING (a, b) WHERE doc_id <> first.d OR pos > first.pos + 1),
+  r AS (SELECT doc_id, min(i) AS low, count(*) AS n FROM (SELECT doc_id, i, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS island FROM g) GROUP BY doc_id, island),
+  s AS (SELECT doc_id, sum(n) AS n, string_agg(concat(low, '+', n), ',' ORDER BY low) AS removed FROM r GROUP BY doc_id), h AS (SELECT doc_id, list(i) AS gone FROM g GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN gone IS NULL THEN text ELSE array_to_string(list_filter(ls, lambda x, k: NOT list_contains(gone, k - 1)), chr(10)) END AS text, CASE WHEN text IS NULL THEN 0 ELSE len(ls) END::BIGINT AS n_lines, coalesce(s.n, 0)::BIGINT AS n_removed, coalesce(removed, '') AS removed
+FROM d LEFT JOIN s USING (doc_id) LEFT JOIN h USING (doc_id)
+"""
+
+SQL: dict[str, str] = {"op2_linededup": LINES, "op3_sharding": SHARDING, "op5_mixing": MIXING, "op8_decontamination": DECONTAMINATION}
