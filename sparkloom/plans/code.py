@@ -253,11 +253,12 @@ CONTRACT_BODIES, CONTRACT_PATHS = [BAD, GOOD, ODD], ["src/C{}.sol", "test/C{}.t.
 CONTRACTS_SQL = f"(SELECT doc_id, replace({[*CONTRACT_PATHS]}[1 + doc_id % 4], '{{}}', doc_id::VARCHAR) AS path, concat(list_value({', '.join(map(_text_sql, CONTRACT_BODIES))})[1 + doc_id % 3], chr(10), '// ', left(text, 40)) AS body FROM documents)"
 
 
-def _contract_sql() -> str:
+def contract_sql(rows: str) -> str:
+    """Contract rules on files (path, body)."""
     single = ", ".join(f"{{i: {i}, rule: '{r}', severity: '{s}', hit: regexp_matches(t, '{re2(p)}')}}" for i, (r, s, p) in enumerate(fixed.CONTRACT))
     block = next(i for i, (_, _, p) in enumerate(fixed.CONTRACT) if p == fixed.BLOCK_VALUE)
     ranks = " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in zip(fixed.SEVERITIES, [*fixed.SEVERITIES[1:], "info"], strict=True))
-    return f"""WITH f AS (SELECT path, body, string_split(body, chr(10)) AS ls FROM {CONTRACTS_SQL}), l AS (SELECT path, line, ls[line] AS t, ls[line + 1:line + 3] AS near, ls[line + 1:line + {fixed.REENTRY_LINES}] AS nxt FROM (SELECT path, ls, unnest(range(1, len(ls) + 1)) AS line FROM f)),
+    return f"""WITH f AS (SELECT path, body, string_split(body, chr(10)) AS ls FROM {rows}), l AS (SELECT path, line, ls[line] AS t, ls[line + 1:line + 3] AS near, ls[line + 1:line + {fixed.REENTRY_LINES}] AS nxt FROM (SELECT path, ls, unnest(range(1, len(ls) + 1)) AS line FROM f)),
   m AS (SELECT path, unnest(list_zip(string_split_regex(body, '{re2(fixed.SEED_OVER_LINES)}')[:-2], regexp_extract_all(body, '{re2(fixed.SEED_OVER_LINES)}'))) AS z, body FROM f),
   sp AS (SELECT path, 1 + length(before) - length(replace(before, chr(10), '')) AS a, 1 + length(before || hit) - length(replace(before || hit, chr(10), '')) AS b FROM (SELECT path, z[2] AS hit, left(body, position(z[2] IN body) - 1) AS before FROM m)),
   s AS (SELECT path, line, h.i AS i, h.rule AS rule, h.severity AS severity FROM (SELECT path, line, unnest([{single}]) AS h FROM l WHERE NOT regexp_matches(trim(t), '^(//|\\*)')) WHERE h.hit),
@@ -272,7 +273,7 @@ def _contract_sql() -> str:
   SELECT path, rule, line::INT AS line, CASE WHEN regexp_matches(path, '{re2(fixed.CONTRACT_TEST_PATH)}') THEN CASE severity {ranks} END ELSE severity END AS severity FROM g"""
 
 
-@query(_contract_sql())
+@query(contract_sql(CONTRACTS_SQL))
 def file_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = F.col("doc_id")
     pick = lambda items: F.element_at(F.array(*map(F.lit, items)), (d % len(items) + 1).cast("int"))

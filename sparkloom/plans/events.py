@@ -134,9 +134,12 @@ LABELS = ("a", "b")
 ANSWERS_SQL = ", ".join(f"({i}, '{c}', {list(p)}, [{', '.join(repr(v) if v == v else chr(39) + 'nan' + chr(39) + '::DOUBLE' for v in p.values())}], {conf})" for i, c, p, conf in ANSWERS)
 
 
-@query(f"""WITH c AS (SELECT event_id, id, choice, names, p, confidence, list_max(p) AS peak, len(p) AS n, p[list_position(names, choice)] AS own FROM (SELECT event_id FROM events) JOIN (VALUES {ANSWERS_SQL}) AS v(id, choice, names, p, confidence) ON event_id % {len(ANSWERS)} + 1 = id)
-  SELECT event_id, CASE WHEN list_sort(names) <> {list(LABELS)} THEN 'distribution_labels' WHEN len(list_filter(p, lambda x: isnan(x) OR x < 0 OR x > 1)) > 0 THEN 'numeric_range' WHEN abs(list_sum(p) - 1) > 0.020000001 THEN 'distribution_sum' WHEN NOT confidence BETWEEN 0 AND 1 THEN 'numeric_range'
-    WHEN coalesce(own < peak, true) THEN 'choice' WHEN abs(confidence - (n * peak - 1) / (n - 1)) > 0.020000001 THEN 'confidence_metric' ELSE '' END AS reason, choice IN ('unknown', 'none') OR confidence < 0.8 AS abstained FROM c""")
+REASONS_SQL = f"""(SELECT id, CASE WHEN list_sort(names) <> {list(LABELS)} THEN 'distribution_labels' WHEN len(list_filter(p, lambda x: isnan(x) OR x < 0 OR x > 1)) > 0 THEN 'numeric_range' WHEN abs(list_sum(p) - 1) > 0.020000001 THEN 'distribution_sum' WHEN NOT confidence BETWEEN 0 AND 1 THEN 'numeric_range'
+    WHEN coalesce(own < peak, true) THEN 'choice' WHEN abs(confidence - (n * peak - 1) / (n - 1)) > 0.020000001 THEN 'confidence_metric' ELSE '' END AS reason, choice IN ('unknown', 'none') OR confidence < 0.8 AS abstained
+  FROM (SELECT *, list_max(p) AS peak, len(p) AS n, p[list_position(names, choice)] AS own FROM (VALUES {ANSWERS_SQL}) AS v(id, choice, names, p, confidence)))"""
+
+
+@query(f"SELECT event_id, reason, abstained FROM events JOIN {REASONS_SQL} ON event_id % {len(ANSWERS)} + 1 = id")
 def evt_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An answer for each event."""
     few = spark.createDataFrame(ANSWERS, "id int, choice string, p map<string,double>, confidence double")
@@ -144,7 +147,7 @@ def evt_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", decisions.choice_reason(F.col("choice"), F.col("p"), F.col("confidence"), F.array(*map(F.lit, LABELS))).alias("reason"), decisions.abstained(F.col("choice"), F.col("confidence")).alias("abstained"))
 
 
-@query()
+@query(f"SELECT id, reason, abstained FROM {REASONS_SQL}")
 def lit_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.createDataFrame(ANSWERS, "id int, choice string, p map<string,double>, confidence double")
     return rows.select("id", decisions.choice_reason(F.col("choice"), F.col("p"), F.col("confidence"), F.array(F.lit("a"), F.lit("b"))).alias("reason"), decisions.abstained(F.col("choice"), F.col("confidence")).alias("abstained"))

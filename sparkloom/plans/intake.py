@@ -189,13 +189,18 @@ def _sections_sql(parser: str, sections: list[str]) -> str:
       FROM (SELECT path, eco, body, unnest({keys}) AS sec, unnest(range({len(sections)})) AS s FROM f WHERE parser = '{parser}' AND json_valid(body))))"""
 
 
-@query(f"""WITH f AS (SELECT concat(doc_id, '/', name) AS path, eco, body, {PARSER_SQL} AS parser FROM {_cases_sql(FILES, 'name, eco, body')}),
+def dependencies_sql(rows: str) -> str:
+    """Dependencies of manifests (path, eco, body)."""
+    return f"""WITH f AS (SELECT path, eco, body, {PARSER_SQL} AS parser FROM {rows}),
   r AS (SELECT path, eco, parser, pos, CASE WHEN parser = 'go' AND starts_with(trim(ls[pos]), 'require') THEN trim(regexp_replace(trim(ls[pos]), '^[require]+', '')) ELSE ls[pos] END AS raw FROM (SELECT path, eco, parser, ls, unnest(range(1, len(ls) + 1)) AS pos FROM (SELECT *, string_split(rtrim(body, chr(10)), chr(10)) AS ls FROM f WHERE parser IN {tuple(fixed.DEP_LINES)}))),
   s AS (SELECT *, last_value(CASE WHEN parser = 'cargo' AND regexp_matches(trim(raw), '^\\[.*\\]$') THEN lower(regexp_replace(trim(raw), '[\\[\\] ]', '', 'g')) WHEN parser = 'pub' AND regexp_matches(raw, '^[a-zA-Z_]+:') THEN regexp_extract(raw, '^([a-zA-Z_]+):', 1) END IGNORE NULLS) OVER (PARTITION BY path ORDER BY pos) AS section FROM r),
   n AS (SELECT path, eco, parser, pos AS ord, {_named_sql(1)} AS name, CASE WHEN {_named_sql(2)} <> '' THEN {_named_sql(2)} ELSE {_named_sql(3)} END AS v FROM s WHERE CASE parser WHEN 'cargo' THEN section IN ('dependencies', 'dev-dependencies', 'build-dependencies') AND NOT starts_with(trim(raw), '#') WHEN 'pub' THEN section IN ('dependencies', 'dev_dependencies') ELSE true END),
   d AS (SELECT path, eco, ord, name, CASE WHEN v = '' THEN '*' ELSE v END AS version FROM n WHERE name <> '' AND NOT (parser = 'toml' AND name IN ('name', 'version', 'description', 'edition')) UNION ALL {_sections_sql('npm', ['dependencies', 'devDependencies', 'peerDependencies', 'optionalDependencies'])}
     UNION ALL SELECT * FROM ({_sections_sql('composer', ['require', 'require-dev'])}) WHERE name <> 'php' UNION ALL SELECT path, eco, pos, a[pos], coalesce(v[pos], '*') FROM (SELECT path, eco, a, v, unnest(range(1, len(a) + 1)) AS pos FROM (SELECT path, eco, regexp_extract_all(body, '<artifactId>\\s*([^<]+)\\s*</artifactId>', 1) AS a, regexp_extract_all(body, '<version>\\s*([^<]+)\\s*</version>', 1) AS v FROM f WHERE parser = 'pom')))
-  SELECT path, eco, name, version FROM d QUALIFY row_number() OVER (PARTITION BY path ORDER BY ord, name) <= {fixed.DEPS_EACH}""")
+  SELECT path, eco, name, version FROM d QUALIFY row_number() OVER (PARTITION BY path ORDER BY ord, name) <= {fixed.DEPS_EACH}"""
+
+
+@query(dependencies_sql(f"(SELECT concat(doc_id, '/', name) AS path, eco, body FROM {_cases_sql(FILES, 'name, eco, body')})"))
 def dep_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dependencies of a manifest for each document."""
     rows = _cases(spark, sf_dir, FILES, "name string, eco string, body string")

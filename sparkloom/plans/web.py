@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions import fixed, url
 from sparkloom.operators import html, manifests, policy, scan, trust
+from sparkloom.plans.code import contract_sql
 from sparkloom.plans.documents import _count_sql, _literal, _strip
+from sparkloom.plans.intake import dependencies_sql
 from sparkloom.plans.registry import query, re2
 from sparkloom.session import table
 
@@ -193,7 +195,7 @@ MANIFESTS = [
 ]
 
 
-@query()
+@query(dependencies_sql(f"(SELECT * FROM (VALUES {_literal(MANIFESTS)}) AS m(path, eco, body))"))
 def dep_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifests.dependencies(spark.createDataFrame(MANIFESTS, "path string, eco string, body string"))
 
@@ -212,6 +214,6 @@ CONTRACTS = [
 ]
 
 
-@query()
+@query(contract_sql(f"(SELECT * FROM (VALUES {_literal(CONTRACTS)}) AS c(path, body))"))
 def contract_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan.contract_findings(scan.code_lines(spark.createDataFrame(CONTRACTS, "path string, body string"), "path", "body"))
