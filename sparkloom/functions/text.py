@@ -54,11 +54,6 @@ def receipt(rule: Column, path: Column, line: Column, snippet_sha256: Column) ->
     return F.concat(F.lit("sha256:"), F.left(F.sha2(F.concat_ws("|", rule, path, line.cast("string"), snippet_sha256), 256), F.lit(16)))
 
 
-def root_of(entries: Column) -> Column:
-    """Digest of a group's entries in any order; of none, that of the empty text."""
-    return F.sha2(F.concat_ws("\n", F.array_sort(F.collect_list(entries))), 256)
-
-
 def truncate(text: Column, size: int, mark: str = "\n… (truncated)") -> Column:
     return F.when(F.length(text) > size, F.concat(F.left(text, F.lit(size - 20)), F.lit(mark))).otherwise(text)
 

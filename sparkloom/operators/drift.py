@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 from sparkloom.functions import fixed, text
 
@@ -43,9 +49,49 @@ def manifest(files: DataFrame, key: str, body: str) -> DataFrame:
     return files.select(F.col(key).alias("key"), F.sha2(F.col(body), 256).alias("sha256"), F.md5(F.col(body)).alias("md5"), F.octet_length(body).cast("long").alias("size"))
 
 
+def root(rows: DataFrame, entry: Column, *by: str) -> DataFrame:
+    """(by, root, n): digest of each group's entries in order, one line each; without groups one row, of nothing that of the empty text.
+
+    Entries are dealt by group, sorted, and fed to the digest one after the other, so no group is ever held as a whole.
+    Without groups one task reads all entries, as a digest over all of them in order asks for.
+    """
+    keys = list(by)
+    own = rows.select(*keys, entry.alias("entry"), F.lit(True).alias("real"))
+    if not keys:  # a row that stands for none, so that there is a task even over nothing
+        own = own.unionByName(rows.sparkSession.range(1).select(F.lit("").alias("entry"), F.lit(False).alias("real")))
+    dealt = own.repartition(*keys) if keys else own.repartition(1)
+    schema = StructType([*[own.schema[k] for k in keys], *StructType.fromDDL("root string, n bigint")])
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, out = None, []
+
+        def close() -> None:
+            out.append((*held[0], held[1].hexdigest(), held[2]))
+
+        for batch in batches:
+            lists = [batch.column(k).to_pylist() for k in (*keys, "entry", "real")]
+            for *key, line, real in zip(*lists, strict=True):
+                if not real:
+                    continue
+                if held is None or held[0] != key:
+                    if held:
+                        close()
+                    held = [key, hashlib.sha256(), 0]
+                held[1].update((b"\n" if held[2] else b"") + (line or "").encode("utf-8", "surrogatepass"))
+                held[2] += 1
+        if held:
+            close()
+        elif not keys:
+            out.append((hashlib.sha256().hexdigest(), 0))
+        columns = [list(x) for x in zip(*out, strict=True)] if out else [[] for _ in schema.fields]
+        yield pa.RecordBatch.from_arrays([pa.array(c, to_arrow_type(f.dataType)) for c, f in zip(columns, schema.fields, strict=True)], schema.fieldNames())
+
+    return dealt.sortWithinPartitions(*keys, "entry").mapInArrow(walk, schema)
+
+
 def manifest_root(rows: DataFrame, *by: str) -> DataFrame:
     """Digest of ``key:sha256:size`` lines in key order, for each group."""
-    return rows.groupBy(*by).agg(text.root_of(F.concat_ws(":", F.col("key").cast("string"), "sha256", F.col("size").cast("string"))).alias("root"), F.count("*").alias("n"))
+    return root(rows, F.concat_ws(":", F.col("key").cast("string"), "sha256", F.col("size").cast("string")), *by)
 
 
 def problems(declared: DataFrame, present: DataFrame) -> DataFrame:

@@ -155,7 +155,7 @@ def doc_receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
   FROM (SELECT source, concat(doc_id, ':', sha256(text), ':', octet_length(encode(text))) AS line FROM documents) GROUP BY source""")
 def doc_manifest_root(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    rows = drift.manifest(docs, "doc_id", "text").join(docs.select(F.col("doc_id").alias("key"), "source"), "key")
+    rows = docs.select("source", F.col("doc_id").alias("key"), F.sha2("text", 256).alias("sha256"), F.octet_length("text").alias("size"))
     return drift.manifest_root(rows, "source").select("source", F.col("n").cast("long").alias("n"), "root")
 
 

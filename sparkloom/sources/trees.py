@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.functions import fixed, text
+from sparkloom.operators import drift
 
 def files(spark: SparkSession, root: str, kinds: tuple[str, ...] = fixed.AUDIT_ENDS, most_bytes: int = 2_000_000, most_files: int = 5_000) -> DataFrame:
     """(path, body, size) of the files below ``root`` with one of the extensions, the first ``most_files`` by path.
@@ -83,9 +84,13 @@ def members(archives: DataFrame, name: str, body: str, most_bytes: int = 300_000
 
 
 def report(findings: DataFrame) -> DataFrame:
-    """One row: findings in order as JSON, counts by severity with zeros, and the root of their evidence."""
+    """One row: findings in order as JSON, counts by severity with zeros, and the root of their evidence.
+
+    The report is one document, so all its findings are in that row; ``tree.ordered`` cuts them first where that is too much.
+    """
     order = F.struct(text.severity_rank(F.col("severity")).alias("rank"), "path", "line", "rule", "snippet", "snippet_sha256", "receipt", "severity")
     counts = [F.count_if(F.col("severity") == s).alias(s) for s in ("critical", "high", "medium", "low", "info")]
-    root = text.root_of(F.concat_ws(":", "path", F.col("line").cast("string"), "snippet_sha256"))
     gate = F.when(F.col("critical") > 0, "BLOCK").when(F.col("high") + F.col("medium") > 0, "REVIEW").otherwise("PASS")
-    return findings.agg(F.to_json(F.array_sort(F.collect_list(order))).alias("findings"), *counts, root.alias("manifest_root")).withColumn("gate", gate)
+    root = drift.root(findings, F.concat_ws(":", "path", F.col("line").cast("string"), "snippet_sha256")).select(F.col("root").alias("manifest_root"))
+    whole = findings.agg(F.to_json(F.array_sort(F.collect_list(order))).alias("findings"), *counts)
+    return whole.join(F.broadcast(root)).withColumn("gate", gate)  # one row beside one row
