@@ -45,9 +45,9 @@ def extract_typed(pages: DataFrame, schema: str) -> DataFrame:
 
 
 def _linked(responses: DataFrame) -> DataFrame:
-    """Responses with the links of good pages; links that need more than their page's origin are left out."""
+    """Responses with the links of good pages, resolved against the page."""
     page = html.pages(responses.withColumn("good", F.when(F.col("status") == 200, F.col("html"))), "good", fields=("links",))
-    links = F.transform(F.filter("page.links", lambda x: x["href"] != ""), lambda x: urls.join_root(F.col("url"), x["href"]))
+    links = F.transform(F.filter("page.links", lambda x: x["href"] != ""), lambda x: urls.join(F.col("url"), x["href"]))
     return page.withColumn("links", F.transform(F.array_compact(links), lambda x: F.when(urls.scheme(x).isin("http", "https"), urls.normal(x)).otherwise(x)))
 
 

@@ -67,6 +67,33 @@ def join_root(base: Column, href: Column) -> Column:
     return F.regexp_replace(whole, "#.*$", "")
 
 
+def without_dots(path: Column) -> Column:
+    """An absolute path without ``.`` and ``..`` steps; steps above the root are dropped, and a path that ends in one ends in a slash."""
+    steps = F.split(path, "/")
+    none = F.array().cast("array<string>")
+
+    def step(out: Column, x: Column) -> Column:
+        return F.when(x == "..", F.slice(out, F.lit(1), F.greatest(F.size(out) - 1, F.lit(0)))).when(x == ".", out).otherwise(F.array_append(out, x))
+
+    kept = F.aggregate(F.slice(steps, F.lit(2), F.greatest(F.size(steps) - 1, F.lit(0))), none, step)
+    ends = F.element_at(steps, -1).isin(".", "..")
+    return F.concat(F.lit("/"), F.array_join(F.when(ends, F.array_append(kept, F.lit(""))).otherwise(kept), "/"))
+
+
+def join(base: Column, href: Column) -> Column:
+    """A link resolved against its page, without its fragment. An empty link is the page itself."""
+    bare = F.regexp_replace(href, "#.*$", "")
+    path, query = part(bare, 3), F.when(F.contains(bare, F.lit("?")), F.concat(F.lit("?"), F.regexp_extract(bare, r"\?(.*)$", 1))).otherwise("")
+    own = F.regexp_replace(base, "#.*$", "")
+    at = F.concat(part(own, 1), F.lit("://"), netloc(own))
+    folder = F.concat(F.lit("/"), F.regexp_replace(F.regexp_replace(part(own, 3), "[^/]*$", ""), "^/+", ""))
+    same = F.concat(at, part(own, 3), F.when(F.contains(bare, F.lit("?")), query).otherwise(F.when(F.contains(own, F.lit("?")), F.concat(F.lit("?"), part(own, 4))).otherwise("")))
+    return (
+        F.when(bare.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), bare).when(F.startswith(bare, F.lit("//")), F.concat(part(own, 1), F.lit(":"), bare)).when(path == "", same)
+        .when(F.startswith(path, F.lit("/")), F.concat(at, without_dots(path), query)).otherwise(F.concat(at, without_dots(F.regexp_replace(F.concat(folder, path), "//+", "/")), query))
+    )
+
+
 def asset_kind(url: Column) -> Column:
     path, out = F.lower(part(url, 3)), F.lit("")
     for end, kind in reversed(fixed.ASSETS):
