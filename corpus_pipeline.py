@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir), where docs are what its predecessor returned, and works on all of them. All but
 the last return the columns of documents. A row is known by its id and its text together, so repeated ids do no harm.
+
+Defined results, in every stage: null ids and null columns take part; a null text and one without letters go in the first
+stage, as no language can be told; equal rows stand or fall together, and of equal texts the near-copy stage keeps the one
+of least id, once; ties are settled as the operators say; an empty table stays empty; very long texts are worked on whole;
+extra columns, whatever their names, are carried along up to the last stage.
 """
 
 from __future__ import annotations
