@@ -13,8 +13,9 @@ Tokens are runs of characters between whitespace. The prefix sums are taken with
 and over the parts' totals, so a leaf that holds a third of all rows is spread over all tasks.
 
 Defined results: null texts and texts without tokens are never taken; null level values are a node named ``-``; repeated
-rows are rows of their own; a weight of 0 takes nothing; unnamed nodes weigh 1; an empty table or budget takes nothing;
-other columns are ignored.
+rows are rows of their own; ties in the seeded order go to the lesser id; a weight of 0 takes nothing; unnamed nodes weigh 1;
+an empty table or budget takes nothing; very long texts are only counted, in linear time; other columns are ignored, whatever
+their names.
 """
 
 from __future__ import annotations

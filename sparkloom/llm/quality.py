@@ -9,8 +9,9 @@ Host and path are columns: by default ``source``, and ``source`` with ``lang``.
 ``max_labels`` labelled documents, those with the least hash of their ids; sums and posteriors cover every document.
 
 Defined results: a null text is an empty one; null hosts and paths are named ``-``; without labels of both kinds the
-classifier knows nothing, and scores are the sites' only; repeated rows each get their own result, and each counts;
-other columns are ignored.
+classifier knows nothing, and scores are the sites' only; of several labels of one document the greatest counts; repeated
+rows each get their own result, and each counts; a score of just 0.5 is kept; an empty table gives an empty one; very long
+texts are measured whole, in memory in proportion; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import broadcast_if_small, cut
+from sparkloom.llm.common import broadcast_if_small, cut, small_batches
 
 MAX_LABELS, ROUNDS, RIDGE = 20_000, 30, 1.0
 #: A document's own probability is kept this far from 0 and 1 before it is summed; strengths are kept within bounds.
@@ -91,6 +92,7 @@ def score_quality(
     documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", host: Column | None = None, path: Column | None = None, max_labels: int = MAX_LABELS
 ) -> DataFrame:
     """(doc_id, host, path, doc_score, host_share, path_share, score, kept), one row per input row."""
+    small_batches(documents.sparkSession)
     host = F.col("source") if host is None else host
     path = F.concat_ws("/", F.coalesce(F.col("source").cast("string"), F.lit("-")), F.coalesce(F.col("lang").cast("string"), F.lit("-"))) if path is None else path
     rows = documents.select(
