@@ -49,6 +49,17 @@ def manifest(files: DataFrame, key: str, body: str) -> DataFrame:
     return files.select(F.col(key).alias("key"), F.sha2(F.col(body), 256).alias("sha256"), F.md5(F.col(body)).alias("md5"), F.octet_length(body).cast("long").alias("size"))
 
 
+def evidence(places: DataFrame, files: DataFrame, most: int = 200) -> DataFrame:
+    """(path, line, rule, snippet, snippet_sha256, file_sha256, receipt) of places (path, line, rule) in files (path, body).
+
+    A line that the file does not have gives nothing. The digest is of the whole line, the snippet its start without blanks.
+    """
+    body = files.select("path", "body", F.sha2("body", 256).alias("file_sha256"))
+    met = places.join(body, "path").withColumn("own", F.get(text.lines(F.col("body")), F.col("line") - 1)).filter("line >= 1 and own is not null")
+    digest = F.sha2("own", 256)
+    return met.select("path", "line", "rule", F.left(F.trim("own"), F.lit(most)).alias("snippet"), digest.alias("snippet_sha256"), "file_sha256", text.receipt(F.col("rule"), F.col("path"), F.col("line"), digest).alias("receipt"))
+
+
 def root(rows: DataFrame, entry: Column, *by: str) -> DataFrame:
     """(by, root, n): digest of each group's entries in order, one line each; without groups one row, of nothing that of the empty text.
 

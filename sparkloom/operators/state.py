@@ -42,17 +42,23 @@ def folded(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: Seq
     return dealt.mapInArrow(walk, StructType([*df.schema.fields, field]))
 
 
-def cooldown(df: DataFrame, keys: list[str], at: str, order: str, gap: float) -> DataFrame:
-    """(keys, events, accepted): an event is accepted ``gap`` seconds or more after the last accepted one."""
+def cooldown(df: DataFrame, keys: list[str], at: str, order: str, gap: float, exempt: Column | None = None) -> DataFrame:
+    """(keys, events, accepted): an event is accepted ``gap`` seconds or more after the last accepted one.
+
+    Exempt events are accepted at any time and start no wait.
+    """
 
     def step(last: list, row: tuple) -> bool:
+        if row[1]:
+            return True
         if last[0] is not None and row[0] - last[0] < gap:
             return False
         last[0] = row[0]
         return True
 
-    rows = df.select(*keys, F.col(at).cast("double").alias("t"), F.col(order).alias("o"))
-    passed = folded(rows, keys, ["t", "o"], ["t"], lambda: [None], step, "passed boolean")
+    free = F.coalesce(F.lit(False) if exempt is None else exempt, F.lit(False))
+    rows = df.select(*keys, F.col(at).cast("double").alias("t"), F.col(order).alias("o"), free.alias("free"))
+    passed = folded(rows, keys, ["t", "o"], ["t", "free"], lambda: [None], step, "passed boolean")
     return passed.groupBy(*keys).agg(F.count("*").alias("events"), F.count_if("passed").alias("accepted"))
 
 
@@ -148,6 +154,17 @@ def first_use(df: DataFrame, token: str, *order: str) -> DataFrame:
     return df.withColumn("replay", F.row_number().over(Window.partitionBy(token).orderBy(*order)) > 1)
 
 
+def token_uses(df: DataFrame, token: str, order: list[str], now: Column, begins: Column, ends: Column, scope: Column, wanted: str) -> DataFrame:
+    """``df`` with ``outcome``: not yet valid, expired, missing scope, replay, or accepted; only an accepted use consumes a token."""
+    early = F.when(F.coalesce(begins, F.lit(0)) != 0, now < begins)
+    late = F.when(F.coalesce(ends, F.lit(0)) != 0, now > ends)
+    bad = F.when(early, "not yet valid").when(late, "expired").when(~F.contains(F.coalesce(scope, F.lit("")), F.lit(wanted)), "missing scope")
+    rows = df.withColumn("outcome", bad)
+    first = rows.filter("outcome is null").groupBy(token).agg(F.min(F.struct(*order)).alias("used_at"))
+    met = rows.join(first, token, "left")
+    return met.withColumn("outcome", F.coalesce("outcome", F.when(F.struct(*order) == F.col("used_at"), "accepted").otherwise("replay"))).drop("used_at")
+
+
 def latest(df: DataFrame, key: str, *order: Column) -> DataFrame:
     """The last row written for each key."""
     w = Window.partitionBy(key).orderBy(*order)

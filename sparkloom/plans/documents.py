@@ -245,3 +245,12 @@ def doc_truncated(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT lang, count(*)::BIGINT AS files, sum(n_chars)::BIGINT AS chars FROM documents GROUP BY lang""")
 def met_language_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("files"), F.sum("n_chars").alias("chars"))
+
+
+@query("""WITH f AS (SELECT doc_id, text, CASE WHEN ends_with(text, chr(10)) THEN string_split(text, chr(10))[:-2] ELSE string_split(text, chr(10)) END AS ls, (doc_id % 5)::INT AS line FROM documents)
+  SELECT doc_id::VARCHAR AS path, line, left(trim(ls[line]), 200) AS snippet, sha256(ls[line]) AS snippet_sha256, sha256(text) AS file_sha256, concat('sha256:', left(sha256(concat('rule|', doc_id, '|', line, '|', sha256(ls[line]))), 16)) AS receipt FROM f WHERE line BETWEEN 1 AND len(ls)""")
+def doc_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evidence at one line of each document; a line that is not there gives none."""
+    docs = table(spark, sf_dir, "documents")
+    places = docs.select(F.col("doc_id").cast("string").alias("path"), (F.col("doc_id") % 5).cast("int").alias("line"), F.lit("rule").alias("rule"))
+    return drift.evidence(places, docs.select(F.col("doc_id").cast("string").alias("path"), F.col("text").alias("body"))).drop("rule")

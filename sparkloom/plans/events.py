@@ -25,6 +25,26 @@ def evt_cooldown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.cooldown(_events(spark, sf_dir), ["user_id"], "ts", "event_id", GAP)
 
 
+@query(f"""WITH RECURSIVE e AS (SELECT user_id, event_type = 'purchase' AS free, epoch_us(ts) / 1000000.0 AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+  f AS (SELECT user_id, 0::BIGINT AS n, NULL::DOUBLE AS last, 0 AS accepted FROM (SELECT DISTINCT user_id FROM events)
+    UNION ALL SELECT e.user_id, e.n, CASE WHEN NOT free AND (last IS NULL OR t - last >= {GAP}) THEN t ELSE last END, accepted + CASE WHEN free OR last IS NULL OR t - last >= {GAP} THEN 1 ELSE 0 END FROM f JOIN e ON e.user_id = f.user_id AND e.n = f.n + 1)
+  SELECT user_id, max(n)::BIGINT AS events, max(accepted)::BIGINT AS accepted FROM f GROUP BY user_id""")
+def evt_cooldown_exempt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Purchases wait for nothing and make nothing wait."""
+    return state.cooldown(_events(spark, sf_dir), ["user_id"], "ts", "event_id", GAP, F.col("event_type") == "purchase")
+
+
+#: An event's value names a token; its type and id say when and for what it is good.
+@query("""WITH e AS (SELECT event_id, floor(value)::BIGINT AS token, event_id % 100 AS now, CASE WHEN event_type = 'view' THEN 40 END AS nbf, CASE WHEN event_type = 'click' THEN 60 ELSE 0 END AS ex, CASE WHEN event_type = 'error' THEN 'read' WHEN event_type <> 'signup' THEN 'read write' END AS scope FROM events),
+  b AS (SELECT *, CASE WHEN now < nbf THEN 'not yet valid' WHEN ex <> 0 AND now > ex THEN 'expired' WHEN NOT contains(coalesce(scope, ''), 'write') THEN 'missing scope' END AS bad FROM e)
+  SELECT event_id, coalesce(bad, CASE WHEN row_number() OVER (PARTITION BY token, bad IS NULL ORDER BY event_id) = 1 THEN 'accepted' ELSE 'replay' END) AS outcome FROM b""")
+def evt_token_uses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.col("event_type")
+    rows = table(spark, sf_dir, "events").withColumn("token", F.floor("value")).withColumn("scope", F.when(kind == "error", "read").when(kind != "signup", "read write"))
+    used = state.token_uses(rows, "token", ["event_id"], F.col("event_id") % 100, F.when(kind == "view", 40), F.when(kind == "click", 60).otherwise(0), F.col("scope"), "write")
+    return used.select("event_id", "outcome")
+
+
 #: Requests in order of their ids, so that the clock often runs back; four events share an id.
 @query("""WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts) / 1000000.0 AS t, epoch_us(ts) // 86400000000 AS day, CAST(event_id // 4 % 50 AS VARCHAR) AS r, row_number() OVER (PARTITION BY user_id ORDER BY event_type, event_id) AS n FROM events),
   f AS (SELECT user_id, 0::BIGINT AS n, NULL::BIGINT AS day, 0.0::DOUBLE AS last, []::VARCHAR[] AS ids, NULL::BIGINT AS on_day, false AS ok FROM (SELECT DISTINCT user_id FROM events)

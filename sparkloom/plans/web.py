@@ -217,3 +217,31 @@ CONTRACTS = [
 @query(contract_sql(f"(SELECT * FROM (VALUES {_literal(CONTRACTS)}) AS c(path, body))"))
 def contract_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan.contract_findings(scan.code_lines(spark.createDataFrame(CONTRACTS, "path string, body string"), "path", "body"))
+
+
+HREFS = ["/a.js", "/b/c.png?x=1", "https://other.example/d", "https://cdn.example/e.css#f", "/g", ""]
+HREFS_SQL = f"(SELECT page_id, url, i, h FROM (SELECT page_id, url, unnest(range(1, 2 + page_id % {len(HREFS)})) AS i, unnest(list_slice({HREFS}, 1, (1 + page_id % {len(HREFS)})::INT)) AS h FROM pages))"
+
+
+def _hrefs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    some = F.slice(F.array(*map(F.lit, HREFS)), F.lit(1), (F.col("page_id") % len(HREFS) + 1).cast("int"))
+    rows = table(spark, sf_dir, "pages").select("page_id", "url", F.explode(some).alias("h")).filter("h <> ''")
+    return rows.withColumn("target", url.join(F.col("url"), F.col("h")))
+
+
+KIND_SQL = "CASE " + " ".join(f"WHEN ends_with(lower(regexp_extract(target, '^[^?#]*', 0)), '{e}') THEN '{k}'" for e, k in fixed.ASSETS) + " ELSE '' END"
+
+
+@query(f"""SELECT page_id, count(*) FILTER (starts_with(h, '/'))::BIGINT AS internal, count(*) FILTER (NOT starts_with(h, '/'))::BIGINT AS external, count(*) FILTER (regexp_matches(h, '\\.(js|png|css)'))::BIGINT AS assets FROM {HREFS_SQL} WHERE h <> '' GROUP BY page_id""")
+def page_link_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of each page inside its site, to others, and to assets."""
+    rows = _hrefs(spark, sf_dir)
+    inside = url.same_origin(F.col("url"), F.col("target"))
+    return rows.groupBy("page_id").agg(F.count_if(inside).alias("internal"), F.count_if(~inside).alias("external"), F.count_if(url.asset_kind(F.col("target")) != "").alias("assets"))
+
+
+@query(f"""SELECT kind, count(*)::BIGINT AS n FROM (SELECT {KIND_SQL} AS kind FROM (SELECT DISTINCT concat(CASE WHEN starts_with(h, '/') THEN concat(regexp_extract(url, '^([a-z]+://[^/?#]*)', 1)) ELSE '' END, regexp_replace(h, '#.*$', '')) AS target FROM {HREFS_SQL} WHERE h <> '')) WHERE kind <> '' GROUP BY kind""")
+def page_asset_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Assets that pages link to, each once, by kind."""
+    rows = _hrefs(spark, sf_dir).select("target").distinct().withColumn("kind", url.asset_kind(F.col("target")))
+    return rows.filter("kind <> ''").groupBy("kind").agg(F.count("*").alias("n"))
