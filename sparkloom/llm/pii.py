@@ -49,7 +49,10 @@ PATTERNS = {
 }
 #: A character that every match of the kind has, for a cheap first look.
 NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+", "iban": None, "ssn": "-", "secret": None}
-LOOKS = {"iban": "[A-Z]{2}[0-9]{2}", "card": r"[0-9][\x20-]?[0-9]", "secret": "AKIA|gh[pousr]_|(?i:passw|passph|pwd|token|secret|key)"}
+LOOKS = {"iban": "[A-Z]{2}[0-9]{2}", "card": r"[0-9][\x20-]?[0-9]"}
+#: Beginnings of keys of known forms, and what stands before a value that is given to a name.
+KEY_HEADS = ("AKIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_")
+GIVEN = r"(?i:passw(?:or)?d|passphrase|pwd|token|secret|key)\x20?[:=]"
 #: Words that speak for a kind, and words that speak against any.
 CONTEXT = {
     "email": "mail|contact|write to|reply",
@@ -214,7 +217,9 @@ def find_pii(df: DataFrame, text: str = "text", out: str = "pii") -> DataFrame:
     work = df.withColumn(text_name, own)
     t, pieces = F.col(text_name), F.col(pieces_name)
     none = F.array().cast("array<struct<kind:string,start:int,end:int,score:double>>")
-    likely = {kind: F.contains(t, F.lit(NEEDS[kind])) if NEEDS[kind] else t.rlike(LOOKS[kind]) for kind in names}
+    likely = {kind: F.contains(t, F.lit(NEEDS[kind])) if NEEDS[kind] else t.rlike(LOOKS[kind]) for kind in names if kind != "secret"}
+    heads = functools.reduce(Column.__or__, [F.contains(t, F.lit(x)) for x in KEY_HEADS])
+    likely["secret"] = heads | ((F.contains(t, F.lit("=")) | F.contains(t, F.lit(":"))) & t.rlike(GIVEN))
     work = work.withColumns({name: F.when(likely[kind], _proposed(t, kind)) for kind, name in names.items()})
     work = work.withColumn(pieces_name, F.when(functools.reduce(Column.__or__, [F.coalesce(F.size(n) > 0, F.lit(False)) for n in names.values()]), _pieces(t)))
     work = work.withColumn(names["iban"], F.when(F.size(names["iban"]) > 0, _ibans(pieces, F.col(names["iban"]))))
