@@ -44,6 +44,13 @@ def needles(pattern: str) -> tuple[str, ...]:
     return tuple(sorted(_literals(parser.parse(pattern)) or ()))
 
 
+@functools.cache
+def hints(pattern: str) -> tuple[str, ...]:
+    """Strings one of which every text with a match has, once folded: those of the match, or else those it must stand before."""
+    ahead = [_literals(value[1]) for kind, value in parser.parse(pattern) if kind is op.ASSERT and value[0] > 0]
+    return needles(pattern) or tuple(sorted(next((x for x in ahead if x), ())))
+
+
 def folded(text: Column) -> Column:
     """The same as ``fold``."""
     return F.lower(F.translate(text, "ıſ\u212a", "isk"))

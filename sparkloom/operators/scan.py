@@ -80,8 +80,9 @@ def findings(df: DataFrame, path: str, column: str, rules: list[tuple[str, str,
 
     rows = df.select(F.col(path).cast("string").alias("path"), F.col(column).alias("body"))
     if all(needles.needles(p) for _, p, _ in rules):
-        low = needles.folded(F.col("body"))
-        rows = rows.filter(functools.reduce(Column.__or__, [F.contains(low, F.lit(n)) for n in sorted({n for _, p, _ in rules for n in needles.needles(p)})]))
+        some = sorted({n for _, p, _ in rules for n in needles.needles(p)})
+        # The folded text is bound once; as a column it would be folded again for each string when the filter moves below it.
+        rows = rows.filter(F.exists(F.array(needles.folded(F.col("body"))), lambda low: functools.reduce(Column.__or__, [F.contains(low, F.lit(n)) for n in some])))
     return rows.mapInPandas(scan, FINDING)
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sparkloom.functions import fixed, packs, text
-from sparkloom.functions.needles import fold, needles
+from sparkloom.functions.needles import fold, hints, needles
 from sparkloom.operators import scan, state
 
 #: Findings kept of one tree, and hot spots, dependencies and paths of each class.
@@ -177,7 +177,7 @@ class Scanner:
 
     def pack(self, lang: str | None) -> list:
         if lang not in self.packs:
-            self.packs[lang] = [(r, re.compile(r.pattern), needles(r.pattern)) for r in rules_for(lang)]
+            self.packs[lang] = [(r, re.compile(r.pattern), hints(r.pattern)) for r in rules_for(lang)]
         return self.packs[lang]
 
     def masked(self, line: str) -> str:
@@ -210,11 +210,17 @@ class Scanner:
                 yield path, rule.id, severity, line, rule.reason or scan._masked(m[0]), snippet, digest, f"sha256:{receipt}"
 
 
+@functools.cache
+def _scanner() -> Scanner:
+    """One for each worker: compiling the rules takes longer than most partitions."""
+    return Scanner()
+
+
 def findings(df: DataFrame, path: str = "path", body: str = "body") -> DataFrame:
     """Every match of every rule that applies to a file: secrets anywhere, the rest outside prose."""
 
     def find(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scanner = Scanner()
+        scanner = _scanner()
         for frame in frames:
             out = [row for p, lang, prose, t in zip(frame["path"], frame["lang"], frame["prose"], frame["body"], strict=True) for row in scanner.rows(p, lang if isinstance(lang, str) else None, prose, t)]
             yield pd.DataFrame(out, columns=[x.split()[0] for x in scan.FINDING.split(", ")])

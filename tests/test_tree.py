@@ -115,3 +115,12 @@ def test_external_hosts_by_arrival(spark):
     rows = [(1, "https://a/", "https://x/"), (2, "https://a/", "https://a/own"), (3, "https://a/", "https://y/"), (4, "https://a/", "https://z/"), (5, "https://a/", "https://x/2")]
     got = graph.external_hosts(spark.createDataFrame(rows, "at int, src string, dst string"), ["at"], 2).collect()
     assert {(r["host"], r["n"]) for r in got} == {("x", 2), ("y", 1)}
+
+
+def test_hints_are_in_every_text_with_a_match():
+    from sparkloom.functions.needles import hints
+
+    for rule in [*tree.SECRETS, *tree.COMMON, *tree.SUPPLY, *(r for lang in packs.BY_LANGUAGE for r in tree.pack_of(lang))]:
+        some = hints(rule.pattern)
+        assert not some or any(n in tree.fold(sample(rule.pattern)) for n in some), rule
+    assert hints(r"\b[0-9]{4}\b(?=[^\n]{0,9}Pin)") == ("pin",) and hints(r"x(?!yes)\d") == ("x",) and hints(r"\d(?!yes)") == ()
