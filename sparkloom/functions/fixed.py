@@ -263,3 +263,11 @@ NODE_SKIPPED = ("node_modules", ".next", ".git", "dist", "build", "out", "cache"
 CONTRACT_SKIPPED = ("node_modules", ".next", "lib", "vendor", "out", "cache", "artifacts", ".git")
 # Paths of tests, as the deep report has them.
 DEEP_TEST_NAME, DEEP_TEST_DIR = r"(?i)(^test_|_test\.|\.test\.|\.spec\.|^test\.|Test\.(java|kt|cs)$)", r"(^|/)(tests?|__tests__|spec)/"
+# Manifests in JSON, XML and TOML: sections, elements, and keys that name the project itself.
+JSON_SECTIONS = {"npm": ["dependencies", "devDependencies", "peerDependencies", "optionalDependencies"], "composer": ["require", "require-dev"]}
+POM_NAME, POM_VERSION = r"<artifactId>\s*([^<]+)\s*</artifactId>", r"<version>\s*([^<]+)\s*</version>"
+TOML_OWN = ("name", "version", "description", "edition")
+# A link in a list, a location in a site map, and what a site map must not declare.
+LISTED_LINK = r"^\s*[-*]\s*\[([^\]]+)\]\(([^)]+)\)\s*:?\s*(.*)$"
+MAP_LOCATION = r"(?is)<(?:\w+:)?loc>\s*([^<\s]+)\s*</(?:\w+:)?loc>"
+DECLARES_ENTITIES = "(?i)<!ENTITY|<!DOCTYPE"

@@ -8,9 +8,6 @@ from pyspark.sql.window import Window
 
 from sparkloom.functions import fixed, text
 
-JSON_SECTIONS = {"npm": ["dependencies", "devDependencies", "peerDependencies", "optionalDependencies"], "composer": ["require", "require-dev"]}
-
-
 def dependencies(manifests: DataFrame) -> DataFrame:
     """From (path, eco, body). Lines are matched by the parser of the ecosystem; TOML and YAML ones inside their sections."""
     parser = F.lit(None).cast("string")
@@ -33,17 +30,17 @@ def dependencies(manifests: DataFrame) -> DataFrame:
         own = F.when(found[1] != "", found[1]).otherwise(found[2]) if key == "cargo" else found[1]
         name, version = F.when(F.col("parser") == key, found[0]).otherwise(name), F.when(F.col("parser") == key, own).otherwise(version)
     lines = lines.filter(F.coalesce(wanted, F.lit(False))).withColumn("name", name).withColumn("version", F.when(version == "", "*").otherwise(version)).filter("name <> ''")
-    lines = lines.filter((F.col("parser") != "toml") | ~F.col("name").isin("name", "version", "description", "edition")).select("path", "eco", "at", "name", "version")
+    lines = lines.filter((F.col("parser") != "toml") | ~F.col("name").isin(*fixed.TOML_OWN)).select("path", "eco", "at", "name", "version")
 
     made = [lines]
-    for parser_name, sections in JSON_SECTIONS.items():
+    for parser_name, sections in fixed.JSON_SECTIONS.items():
         own = rows.filter(F.col("parser") == parser_name)
         schema = ", ".join(f"`{s}` map<string,string>" for s in sections)
         parsed = own.withColumn("j", F.from_json("body", schema))
         for i, s in enumerate(sections):
             one = parsed.select("path", "eco", F.posexplode(F.map_entries(F.col(f"j.`{s}`"))).alias("at", "e"))
             made.append(one.select("path", "eco", (F.col("at") + i * 1_000_000).alias("at"), F.col("e.key").alias("name"), F.col("e.value").alias("version")).filter((F.col("name") != "php") | F.lit(parser_name != "composer")))
-    pom = rows.filter("parser = 'pom'").select("path", "eco", F.regexp_extract_all("body", F.lit(r"<artifactId>\s*([^<]+)\s*</artifactId>"), F.lit(1)).alias("a"), F.regexp_extract_all("body", F.lit(r"<version>\s*([^<]+)\s*</version>"), F.lit(1)).alias("v"))
+    pom = rows.filter("parser = 'pom'").select("path", "eco", F.regexp_extract_all("body", F.lit(fixed.POM_NAME), F.lit(1)).alias("a"), F.regexp_extract_all("body", F.lit(fixed.POM_VERSION), F.lit(1)).alias("v"))
     made.append(pom.select("path", "eco", F.posexplode("a").alias("at", "name"), "v").select("path", "eco", "at", "name", F.coalesce(F.get("v", F.col("at")), F.lit("*")).alias("version")))
     every = made[0]
     for more in made[1:]:

@@ -38,16 +38,16 @@ def llms_links(files: DataFrame) -> DataFrame:
     """(origin, section, at, name, url, note) from (origin, body); links before any section are in ``intro``."""
     rows = files.select("origin", F.posexplode(F.split("body", "\n")).alias("at", "raw"))
     section = F.last(F.when(F.col("raw").startswith("## "), F.trim(F.substr("raw", F.lit(4)))), ignorenulls=True).over(Window.partitionBy("origin").orderBy("at"))
-    link = r"^\s*[-*]\s*\[([^\]]+)\]\(([^)]+)\)\s*:?\s*(.*)$"
+    link = fixed.LISTED_LINK
     rows = rows.withColumn("section", F.coalesce(section, F.lit("intro"))).filter(F.col("raw").rlike(link))
     return rows.select("origin", "section", "at", F.regexp_extract("raw", link, 1).alias("name"), F.regexp_extract("raw", link, 2).alias("url"), F.trim(F.regexp_extract("raw", link, 3)).alias("note"))
 
 
 def sitemap_locations(xml: Column, most: int = 300) -> Column:
     """Locations of a sitemap or index; none from one that declares entities."""
-    found = F.regexp_extract_all(xml, F.lit(r"(?is)<(?:\w+:)?loc>\s*([^<\s]+)\s*</(?:\w+:)?loc>"), F.lit(1))
+    found = F.regexp_extract_all(xml, F.lit(fixed.MAP_LOCATION), F.lit(1))
     kept = F.filter(F.transform(found, lambda u: F.replace(u, F.lit("&amp;"), F.lit("&"))), lambda u: u.rlike("^https?://") & (F.length(u) <= 2048))
-    return F.when(xml.rlike("(?i)<!ENTITY|<!DOCTYPE"), F.array().cast("array<string>")).otherwise(F.slice(kept, 1, most))
+    return F.when(xml.rlike(fixed.DECLARES_ENTITIES), F.array().cast("array<string>")).otherwise(F.slice(kept, 1, most))
 
 
 def intent(body: Column, name: str = "this bot") -> Column:
