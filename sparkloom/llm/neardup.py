@@ -20,12 +20,14 @@ class, and pairs within a class are compared no more:
 2. in a bucket of up to ``CELL`` texts, all that are still in different classes with each other. In a larger one texts that
    have the next component in common too form a finer group: they are compared with a hub drawn for that group, and,
    in random cells of about ``CELL`` texts, with each other;
-3. the same in groups that have three components in common.
+3. all texts of a larger bucket that are still in different classes with each other.
 
 Only pairs that can be similar are compared. Similar texts differ in at most ``(n + m) / 9`` shingles, and two texts differ
 in no fewer shingles than in bits of their parities: bit i tells whether an odd number of labelled shingles has the hash i.
-So a bucket of n texts costs comparisons in proportion to n, and no group is held in one task. Of pairs that share a bucket,
-all are found but those that share only buckets of more than ``CELL`` texts; README has the measured share of these.
+So of pairs that share a bucket no link is lost, whatever the bucket's size. The first two passes cost comparisons in
+proportion to the texts of a bucket. The third costs as many bit counts as pairs remain: the texts beside a bucket's largest
+class times all texts. It deals a bucket to tasks by pairs of blocks of about ``BLOCK`` texts; two blocks of the largest class, or of
+lengths that cannot be similar, never meet.
 
 Defined results: a null text is a class of its own; texts without words, such as empty ones, are in a class only with
 their equals; a class is named by its least doc_id; rows with null ids take part and are named by their class; repeated
@@ -36,6 +38,7 @@ proportion to their words; an empty table gives an empty result; other columns a
 from __future__ import annotations
 
 import functools
+import math
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
@@ -54,6 +57,8 @@ SKETCHES, PICKED = 16, 3
 MANY, MORE, SHORT, EXACT = 32, 20, 13, 8
 #: Texts of a bucket, or of a random part of a larger group, that are compared with each other.
 CELL = 256
+#: Texts of a block of a larger bucket, of which two at a time are compared in full.
+BLOCK = 1024
 #: Parities of a text, in numbers of 64 bits.
 PARITIES = 8
 #: Bytes of text that are hashed at once, and hash draws held at once.
@@ -212,6 +217,11 @@ def _rooted(members: DataFrame, roots: DataFrame) -> DataFrame:
     return members.join(roots.withColumnRenamed("node", "tid"), "tid", "left").withColumn("root", F.coalesce("root", "tid"))
 
 
+def _linked(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """Roots when further links are added."""
+    return roots if links.isEmpty() else components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(links))
+
+
 def _pairs(grouped: DataFrame, least: float) -> DataFrame:
     """Pairs (a, b) to compare among rows (key, tid, root, n, p): with each group's hub, and in cells; never of one root."""
     sizes = grouped.groupBy("key").agg(F.count("*").alias("size"), F.min("root").alias("x"), F.max("root").alias("y"), F.max(F.struct(F.xxhash64("tid", "key"), "tid", "root", "n", "p")).alias("h"))
@@ -231,6 +241,47 @@ def _pairs(grouped: DataFrame, least: float) -> DataFrame:
     return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _rest(members: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) to compare among rows (bucket, tid, root, n, p): all of a bucket and of different roots that can be similar."""
+    roots = members.groupBy("bucket", "root").count()
+    top = roots.groupBy("bucket").agg(F.count("*").alias("roots"), F.max(F.struct("count", "root")).alias("top")).filter("roots > 1")
+    # Lengths of similar texts are of the same step or of two that follow each other.
+    step = F.floor(F.log("n") / (0.01 - math.log(least)))
+    rows = members.join(top, "bucket").withColumn("step", step).withColumn("main", F.col("root") == F.col("top")["root"])
+    sizes = rows.groupBy("bucket", "step", "main").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+
+    def name(cell: Column) -> Column:
+        return F.concat_ws(":", "bucket", "step", "main", cell)
+
+    blocks = sizes.select("bucket", "step", "main", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("cell"))
+    blocks = cut(blocks.select("bucket", "step", "main", "cell", name(F.col("cell")).alias("block")))
+    one = blocks.select("bucket", F.col("step").alias("s"), F.col("main").alias("m"), F.col("cell").alias("c"), F.col("block").alias("first"))
+    two = blocks.withColumnRenamed("block", "second")
+    ordered = (F.col("step") == F.col("s") + 1) | (F.col("step") == F.col("s")) & (F.struct("m", "c") <= F.struct("main", "cell"))
+    meet = one.join(two, "bucket").filter(ordered & ~(F.col("m") & F.col("main"))).select("first", "second")
+    sides = meet.select(F.col("first").alias("block"), "*").union(meet.filter("first <> second").select(F.col("second").alias("block"), "*"))
+    held = rows.join(sizes, ["bucket", "step", "main"]).select(name(F.pmod(F.xxhash64("bucket", "tid"), F.col("blocks"))).alias("block"), "tid", "root", "n", "p")
+
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        tids, n, p = group["tid"].to_numpy(), group["n"].to_numpy(), np.stack(group["p"].to_numpy()).view(np.uint64)
+        root = pd.factorize(group["root"])[0]
+        within = group["first"].iat[0] == group["second"].iat[0]
+        left = group["block"].to_numpy() == group["first"].iat[0]
+        x, y = np.flatnonzero(left), np.flatnonzero(left if within else ~left)
+        a, b = [x[:0]], [y[:0]]
+        for i in range(0, len(x), CELL):
+            u = x[i : i + CELL, None]
+            odd = sum(np.bitwise_count(p[u, j] ^ p[y, j]).astype(np.int32) for j in range(PARITIES))
+            alike = (root[u] != root[y]) & (np.minimum(n[u], n[y]) >= np.maximum(n[u], n[y]) * least - 1e-9) & (odd <= (n[u] + n[y]) * ((1 - least) / (1 + least)) + 1e-9)
+            at, to = np.nonzero(alike & (u < y) if within else alike)
+            a.append(x[i + at])
+            b.append(y[to])
+        return pd.DataFrame({"a": tids[np.concatenate(a)], "b": tids[np.concatenate(b)]})
+
+    pairs = held.join(sides, "block").groupBy("first", "second").applyInPandas(compare, "a binary, b binary")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def near_classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = SIMILARITY) -> DataFrame:
     """(doc_id, class_id, kept, tid), one row per input row; ``kept`` marks the least id of each class."""
     small_batches(df.sparkSession)
@@ -246,9 +297,9 @@ def near_classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", leas
     t = F.col(f"`{text}`").cast("string")
     rows = cut(df.select(F.col(f"`{doc_id}`").alias("id"), text_key(t).alias("tid"), described(t).alias("k")))
     nodes = rows.filter(F.col("tid").isNotNull()).groupBy("tid").agg(F.min("id").alias("rep"), F.first("k").alias("k"))
-    # Each component, and hashes of it with one and with two more, in a cycle.
+    # Each component, and a hash of it with the next, in a cycle.
     spread = nodes.select("tid", F.col("k.s").alias("s")).selectExpr(
-        "tid", "inline(transform(s, (x, i) -> struct(x as bucket, xxhash64(x, s[(i + 1) % size(s)]) as two, xxhash64(x, s[(i + 1) % size(s)], s[(i + 2) % size(s)]) as three)))"
+        "tid", "inline(transform(s, (x, i) -> struct(x as bucket, xxhash64(x, s[(i + 1) % size(s)]) as two)))"
     )
     sizes = spread.groupBy("bucket").count().filter("count > 1")
     members = cut(spread.join(sizes, "bucket"))
@@ -269,12 +320,12 @@ def near_classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", leas
     left = cut(rooted.join(mixed, "bucket").filter("count > 2").join(bounds, "tid"))
     key = F.when(F.col("count") <= CELL, F.col("bucket")).otherwise(F.col("two"))
     second = _links(_pairs(left.select(key.alias("key"), "tid", "root", "n", "p").dropDuplicates(["key", "tid"]), least), words, least)
-    links = links.union(second)
-    roots = components(links) if not second.isEmpty() else roots
+    roots = _linked(roots, second)
 
-    left = left.filter(F.col("count") > CELL).select("tid", "n", "p", F.col("three").alias("key")).dropDuplicates(["key", "tid"])
-    third = _links(_pairs(_rooted(left, roots).select("key", "tid", "root", "n", "p"), least), words, least)
-    roots = components(links.union(third)) if not third.isEmpty() else roots
+    large = left.filter(F.col("count") > CELL).select("bucket", "tid", "n", "p")
+    if not large.isEmpty():
+        rest = _rest(_rooted(large, roots).select("bucket", "tid", "root", "n", "p"), least)
+        roots = _linked(roots, _links(rest, words, least))
 
     named = nodes.select("tid", "rep").join(roots.withColumnRenamed("node", "tid"), "tid", "left").withColumn("root", F.coalesce("root", "tid"))
     names = named.groupBy("root").agg(F.min("rep").alias("class_id"))

@@ -112,6 +112,51 @@ def test_classes_equal_brute_force(spark):
     assert all(r["kept"] == (r["doc_id"] == r["class_id"]) for r in got)
 
 
+def bucket_classes(texts):
+    """Least place of each text's class, where all similar texts that share a component are linked."""
+    parent = list(range(len(texts)))
+    hashes, sketches = [word_hashes(t) for t in texts], [set(sketch(t)) for t in texts]
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if find(i) != find(j) and sketches[i] & sketches[j] and aligned(hashes[i], hashes[j]) > 0:
+                parent[max(find(i), find(j))] = min(find(i), find(j))
+    return [find(i) for i in range(len(texts))]
+
+
+def far_copies(n, seed):
+    rng = random.Random(seed)
+    base = [f"b{i}" for i in range(150)]
+    out = []
+    for _ in range(n):
+        words = list(base)
+        for _ in range(rng.choice([1, 2, 3, 4, 5, 6, 8])):
+            i = rng.randrange(len(words))
+            words[i : i + 1] = rng.choice([[], [f"x{rng.randrange(10**6)}"], [words[i], f"y{rng.randrange(10**6)}"]])
+        out.append(" ".join(words))
+    return out
+
+
+def test_no_link_is_lost_in_buckets_larger_than_a_cell(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "CELL", 4)
+    monkeypatch.setattr(neardup, "BLOCK", 7, raising=False)
+    texts = far_copies(200, 5) + [" ".join(t.split()[:120]) for t in far_copies(60, 6)] + corpus(seed=4)
+    texts = sorted(set(texts), key=texts.index)
+    got = near_classes(spark.createDataFrame(list(enumerate(texts)), SCHEMA)).collect()
+    assert [c for _, c in sorted((r["doc_id"], r["class_id"]) for r in got)] == bucket_classes(texts)
+
+
+def test_no_link_is_lost_in_a_group_larger_than_a_cell(spark):
+    texts = far_copies(900, 2)
+    got = near_classes(spark.createDataFrame(list(enumerate(texts)), SCHEMA)).collect()
+    assert [c for _, c in sorted((r["doc_id"], r["class_id"]) for r in got)] == bucket_classes(texts)
+
+
 def test_empty_null_ids_and_repeated_rows(spark):
     df = spark.createDataFrame([(None, "a b c"), (1, "a b c"), (1, "a b c"), (2, "x"), (None, None)], SCHEMA)
     assert sorted(((r["doc_id"], r["class_id"]) for r in near_classes(df).collect()), key=str) == [(1, 1), (1, 1), (2, 2), (None, 1), (None, None)]
