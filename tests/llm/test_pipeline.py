@@ -1,9 +1,10 @@
 from pyspark.sql import functions as F
 from reference_decontaminate import brute
 from test_mixing import plain_mix
-from test_neardup import plain_classes
+from test_neardup import bucket_classes, far_copies, plain_classes
 
 import corpus_pipeline as pipeline
+from sparkloom.llm import neardup
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -56,6 +57,13 @@ def test_repeated_rows_null_ids_and_extra_columns(spark, sf_dir):
     assert pipeline.mixed(spark, out.limit(0), sf_dir).count() == 0
 
 
+def test_near_copies_of_a_large_group_are_all_dropped(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(neardup, "CELL", 4)
+    texts = far_copies(200, 5) + [" ".join(t.split()[:120]) for t in far_copies(60, 6)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], SCHEMA)
+    assert set(rows(pipeline.near_dedup(spark, docs, sf_dir))) == set(bucket_classes(texts))
+
+
 def test_run_on_empty_documents(spark, sf_dir):
     docs = spark.createDataFrame([], SCHEMA)
     for _, stage in pipeline.STAGES:
