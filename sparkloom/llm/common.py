@@ -12,12 +12,19 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32_000_000
 #: Texts that a Python worker gets at once, at most.
 BATCH = 1_000
+#: Narrow rows of a file, where their number is known.
+FILE_ROWS = 20_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def files(rows: int) -> int:
+    """Files for so many narrow rows. The local file system starts a process for each file it makes, so few rows take few."""
+    return max(1, -(-rows // FILE_ROWS))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The same rows, kept in the shared checkpoint folder, so a lost executor costs no recomputation.
 

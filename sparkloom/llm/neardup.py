@@ -48,7 +48,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import broadcast_if_small, cut, small_batches
+from sparkloom.llm.common import broadcast_if_small, cut, files, small_batches
 from sparkloom.llm.components import components
 
 WORDS, SIMILARITY = 5, 0.8
@@ -199,8 +199,8 @@ def text_key(text: Column) -> Column:
     return F.unhex(F.substring(F.sha2(text, 256), 1, 32))
 
 
-def _links(pairs: DataFrame, words: DataFrame, least: float) -> DataFrame:
-    """Those of the pairs (a, b) that are similar; a hub is ``b``, whose many rows are narrow when they are dealt by it."""
+def _links(pairs: DataFrame, words: DataFrame, least: float, n: int) -> DataFrame:
+    """Those of the pairs (a, b) that are similar, in files for ``n`` rows; a hub is ``b``, whose many rows are narrow when they are dealt by it."""
 
     def verify(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -210,7 +210,7 @@ def _links(pairs: DataFrame, words: DataFrame, least: float) -> DataFrame:
     one = words.select(F.col("tid").alias("a"), F.col("words").alias("wa"))
     two = words.select(F.col("tid").alias("b"), F.col("words").alias("wb"))
     both = pairs.join(two, "b").join(one, "a").select("a", "b", "wa", "wb")
-    return cut(both.mapInPandas(verify, "a binary, b binary"))
+    return cut(both.mapInPandas(verify, "a binary, b binary").repartition(files(n)))
 
 
 def _rooted(members: DataFrame, roots: DataFrame) -> DataFrame:
@@ -311,7 +311,8 @@ def near_classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", leas
     weights = members.groupBy("tid").agg(F.sum("count").alias("weight"))
     hubs = members.join(weights, "tid").groupBy("bucket").agg(F.max(F.struct("weight", "tid")).alias("h")).select("bucket", F.col("h.tid").alias("hub"))
     stars = members.select("bucket", "tid").join(hubs, "bucket").filter("tid <> hub")
-    links = _links(stars.select(F.col("tid").alias("a"), F.col("hub").alias("b")).distinct(), words, least)
+    n = members.count()  # sets the number of files of links only
+    links = _links(stars.select(F.col("tid").alias("a"), F.col("hub").alias("b")).distinct(), words, least, n)
     roots = components(links)
 
     rooted = _rooted(members, roots)
@@ -319,13 +320,13 @@ def near_classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", leas
     bounds = nodes.select("tid", F.col("k.n").alias("n"), F.col("k.p").alias("p"))
     left = cut(rooted.join(mixed, "bucket").filter("count > 2").join(bounds, "tid"))
     key = F.when(F.col("count") <= CELL, F.col("bucket")).otherwise(F.col("two"))
-    second = _links(_pairs(left.select(key.alias("key"), "tid", "root", "n", "p").dropDuplicates(["key", "tid"]), least), words, least)
+    second = _links(_pairs(left.select(key.alias("key"), "tid", "root", "n", "p").dropDuplicates(["key", "tid"]), least), words, least, n)
     roots = _linked(roots, second)
 
     large = left.filter(F.col("count") > CELL).select("bucket", "tid", "n", "p")
     if not large.isEmpty():
         rest = _rest(_rooted(large, roots).select("bucket", "tid", "root", "n", "p"), least)
-        roots = _linked(roots, _links(rest, words, least))
+        roots = _linked(roots, _links(rest, words, least, n))
 
     named = nodes.select("tid", "rep").join(roots.withColumnRenamed("node", "tid"), "tid", "left").withColumn("root", F.coalesce("root", "tid"))
     names = named.groupBy("root").agg(F.min("rep").alias("class_id"))

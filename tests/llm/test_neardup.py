@@ -1,5 +1,6 @@
 import random
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -169,6 +170,28 @@ def test_components(spark):
     assert got == {i: 0 for i in range(31)} | {100: 100, 101: 100, 102: 100}
 
 
+def test_few_links_make_few_files_in_the_checkpoint_folder(spark):
+    def made(run):
+        files = lambda: len(list(Path(spark.sparkContext.getCheckpointDir().removeprefix("file:")).rglob("part-*")))
+        before = files()
+        return run().collect(), files() - before
+
+    held = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    kept = {k: spark.conf.get(k) for k in held}
+    for k, v in held.items():
+        spark.conf.set(k, v)
+    try:
+        links = spark.createDataFrame([(i, i + 1) for i in range(30)], "a long, b long")
+        got, n = made(lambda: components(links))
+        assert {r["node"]: r["root"] for r in got} == {i: 0 for i in range(31)} and n < 20, n
+        texts = far_copies(20, 5)
+        got, n = made(lambda: near_classes(spark.createDataFrame(list(enumerate(texts)), SCHEMA)))
+        assert {r["class_id"] for r in got} == set(bucket_classes(texts)) and n < 250, n
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+
+
 def test_short_similar_texts_always_share_a_component():
     rng, met = random.Random(11), Counter()
     # Shingles of the two texts: the second lacks the first shingle of the first, or each has one of its own.
