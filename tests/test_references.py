@@ -25,7 +25,7 @@ def _equal(spark, tmp_path, name):
     assert sorted(map(tuple, got), key=str) == sorted(cursor.fetchall(), key=str)
 
 
-@pytest.mark.parametrize("name", ["gate_spans", "page_title"])
+@pytest.mark.parametrize("name", ["gate_spans", "page_title", "typ_pages"])
 def test_cut_references_equal_sql(spark, tmp_path, name):
     _equal(spark, tmp_path, name)
 
