@@ -23,6 +23,17 @@ def lines(text: Column) -> Column:
     return F.when(text == "", F.array().cast("array<string>")).when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
 
 
+def newline_lines(text: Column) -> Column:
+    """Lines of a text that end in nothing but a newline; a final one opens no further line, and an empty text is one line."""
+    parts = F.split(text, "\n")
+    return F.when(F.endswith(text, F.lit("\n")), F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+
+
+def trim_spaces(text: Column) -> Column:
+    """A text without the spaces, of any width and script, at its ends."""
+    return F.regexp_replace(text, r"^\p{Zs}+|\p{Zs}+\z", "")
+
+
 def loc(text: Column) -> Column:
     return F.size(F.filter(F.split(text, "\n"), lambda x: x.rlike(r"\S"))).cast("long")
 

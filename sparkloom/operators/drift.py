@@ -49,15 +49,20 @@ def manifest(files: DataFrame, key: str, body: str) -> DataFrame:
     return files.select(F.col(key).alias("key"), F.sha2(F.col(body), 256).alias("sha256"), F.md5(F.col(body)).alias("md5"), F.octet_length(body).cast("long").alias("size"))
 
 
-def evidence(places: DataFrame, files: DataFrame, most: int = 200) -> DataFrame:
-    """(path, line, rule, snippet, snippet_sha256, file_sha256, receipt) of places (path, line, rule) in files (path, body).
+def evidence_at(rows: DataFrame, own: Column, snippet: Column, most: int = 200) -> DataFrame:
+    """(path, line, rule, snippet, snippet_sha256, file_sha256, receipt) of rows (path, line, rule, body), each a place in its own text.
 
-    A line that the file does not have gives nothing. The digest is of the whole line, the snippet its start without blanks.
+    ``own`` is the whole line, null if the file does not have it, which gives nothing; the digest is of it, and ``snippet`` is cut.
     """
-    body = files.select("path", "body", F.sha2("body", 256).alias("file_sha256"))
-    met = places.join(body, "path").withColumn("own", F.get(text.lines(F.col("body")), F.col("line") - 1)).filter("line >= 1 and own is not null")
+    met = rows.withColumn("own", own).filter("line >= 1 and own is not null")
     digest = F.sha2("own", 256)
-    return met.select("path", "line", "rule", F.left(F.trim("own"), F.lit(most)).alias("snippet"), digest.alias("snippet_sha256"), "file_sha256", text.receipt(F.col("rule"), F.col("path"), F.col("line"), digest).alias("receipt"))
+    return met.select("path", "line", "rule", F.left(snippet, F.lit(most)).alias("snippet"), digest.alias("snippet_sha256"), F.sha2("body", 256).alias("file_sha256"), text.receipt(F.col("rule"), F.col("path"), F.col("line"), digest).alias("receipt"))
+
+
+def evidence(places: DataFrame, files: DataFrame, most: int = 200) -> DataFrame:
+    """The same of places (path, line, rule) in files (path, body); lines are those of ``text.lines``, snippets their start without blanks."""
+    met = places.join(files.select("path", "body"), "path")
+    return evidence_at(met, F.get(text.lines(F.col("body")), F.col("line") - 1), F.trim("own"), most)
 
 
 def root(rows: DataFrame, entry: Column, *by: str) -> DataFrame:
