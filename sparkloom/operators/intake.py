@@ -7,11 +7,13 @@ missing values.
 from __future__ import annotations
 
 import functools
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from sparkloom.functions import fixed, url
+from sparkloom.functions.text import trim_spaces
 
 MOST_UPLOAD, MOST_URL = 15_000_000, 2048
 
@@ -128,12 +130,17 @@ def blocks_sealing(severity: Column, rule: Column) -> Column:
     return F.lower(F.coalesce(severity, F.lit(""))).isin("high", "critical") & functools.reduce(Column.__or__, [F.contains(low, F.lit(x)) for x in fixed.SEALING_HINTS])
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def remembered(text: Column) -> Column:
     """Which group of old machines a text names, counted from 0; of several, one by the text's digest; null for none."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    hits = F.array_compact(F.array(*[F.when(functools.reduce(Column.__or__, [F.contains(low, F.lit(w)) for w in words]), F.lit(i)) for i, words in enumerate(fixed.OLD_MACHINES)]))
-    byte = F.conv(F.left(F.sha2(F.lower(F.trim(text)), 256), F.lit(2)), 16, 10).cast("int")
-    return F.when(F.size(hits) > 0, F.get(hits, byte % F.greatest(F.size(hits), F.lit(1))))
+    named = lambda low: F.array_compact(F.array(*[F.when(functools.reduce(Column.__or__, [F.contains(low, F.lit(w)) for w in words]), F.lit(i)) for i, words in enumerate(fixed.OLD_MACHINES)]))
+    byte = F.conv(F.left(F.sha2(F.lower(trim_spaces(text)), 256), F.lit(2)), 16, 10).cast("int")
+    pick = lambda hits: F.when(F.size(hits) > 0, F.get(hits, byte % F.greatest(F.size(hits), F.lit(1))))
+    return _once(_once(F.lower(F.coalesce(text, F.lit(""))), named), pick)
 
 
 OFFERS = "accepts array<struct<scheme:string,network:string,maxAmountRequired:string,amount:string,max_amount_required:string,payTo:string>>"

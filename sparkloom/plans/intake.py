@@ -120,8 +120,8 @@ def in_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT doc_id, len(hits)::INT > 0 AS named, CASE WHEN len(hits) > 0 THEN hits[1 + ('0x' || left(sha256(lower(trim(text))), 2))::INT % len(hits)] END AS machine FROM (SELECT doc_id, text, list_filter({_groups_sql()}, lambda x: x IS NOT NULL) AS hits FROM (SELECT doc_id, text, lower(text) AS low FROM documents))")
 def in_machines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    machine = intake.remembered(F.col("text"))
-    return table(spark, sf_dir, "documents").select("doc_id", machine.isNotNull().alias("named"), machine.alias("machine"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", intake.remembered(F.col("text")).alias("machine"))
+    return rows.select("doc_id", F.col("machine").isNotNull().alias("named"), "machine")
 
 
 def _terms(*offers: dict) -> str:
