@@ -9,14 +9,17 @@ from __future__ import annotations
 import functools
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from sparkloom.functions import fixed, needles, text
+from sparkloom.session import small_batches
 
 FINDING = "path string, rule string, severity string, line int, detail string, snippet string, snippet_sha256 string, receipt string"
 
@@ -41,49 +44,93 @@ def _masked(token: str) -> str:
     return f"{token[:3]}***" if len(token) <= 12 else f"{token[:6]}…{token[-4:]} ({len(token)} chars)"
 
 
+#: Findings that a Python worker holds before they leave it.
+MOST_HELD = 1_000
+
+
+def searched(rows: DataFrame, keep: list[str], search: Callable[..., Iterator[tuple]]) -> DataFrame:
+    """``keep`` and the findings of each row, which ``search`` gives for the values of its other columns in order.
+
+    Texts are taken out of a batch one at a time, and findings leave in pieces, so a worker holds little beside the batch itself.
+    """
+    small_batches(rows.sparkSession)
+    schema = StructType([*(rows.schema[k] for k in keep), *StructType.fromDDL(FINDING)])
+    others = [c for c in rows.columns if c not in keep]
+
+    def packed(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, to_arrow_type(f.dataType)) for c, f in zip(zip(*out, strict=True), schema.fields, strict=True)], schema.fieldNames())
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = []
+        for batch in batches:
+            kept, read = [batch.column(k) for k in keep], [batch.column(c) for c in others]
+            for i in range(batch.num_rows):
+                for found in search(*(c[i].as_py() for c in read)):
+                    out.append((*(c[i].as_py() for c in kept), *found))
+                    if len(out) >= MOST_HELD:
+                        yield packed(out)
+                        out = []
+        if out:
+            yield packed(out)
+
+    return rows.mapInArrow(walk, schema)
+
+
+class _Packs:
+    """Compiled rules, and what a text must have for each of them to be tried."""
+
+    def __init__(self, rules: tuple[tuple[str, str, int], ...], examples: bool) -> None:
+        self.packs = [(name, re.compile(p), score, needles.needles(p), needles.solid(p)) for name, p, score in rules]
+        self.secrets = [re.compile(p) for _, p, _ in fixed.SECRETS]
+        self.example = None if examples else re.compile(fixed.EXAMPLE)
+
+    def rows(self, path: str | None, body: str | None) -> Iterator[tuple]:
+        if not isinstance(body, str):
+            return
+        shown, low, most = None, needles.fold(body), needles.longest(body)
+        for name, pattern, score, some, least in self.packs:
+            if least > most or (some and not any(n in low for n in some)):
+                continue
+            for m in pattern.finditer(body):
+                if self.example and self.example.search(m[0]):
+                    continue
+                shown = body.splitlines() if shown is None else shown
+                line = body.count("\n", 0, m.start()) + 1
+                if line > len(shown):
+                    continue
+                snippet = shown[line - 1]
+                for secret in self.secrets:
+                    snippet = secret.sub(lambda s: _masked(s[0]), snippet)
+                snippet = snippet.strip()[:200]
+                digest = hashlib.sha256(snippet.encode("utf-8", "surrogatepass")).hexdigest()
+                sev = next(s for at_least, s in ((90, "critical"), (70, "high"), (30, "medium"), (-1, "low")) if score >= at_least)
+                mark = hashlib.sha256(f"{name}|{path}|{line}|{digest}".encode()).hexdigest()[:16]
+                yield path, name, sev, line, _masked(m[0]), snippet, digest, f"sha256:{mark}"
+
+
+@functools.cache
+def _packs(rules: tuple[tuple[str, str, int], ...], examples: bool) -> _Packs:
+    """One for each worker and set of rules."""
+    return _Packs(rules, examples)
+
+
 def findings(df: DataFrame, path: str, column: str, rules: list[tuple[str, str, int]] | None = None, examples: bool = False) -> DataFrame:
     """Every match of every rule: line, masked snippet, digest and receipt. Placeholders are dropped unless ``examples``.
 
     Texts that have none of the strings that a match must have never leave the JVM, if every rule has such strings.
     """
     rules = rules or [*fixed.SECRETS, *fixed.RISKS]
+    told = tuple(map(tuple, rules))
 
-    def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        packs = [(name, re.compile(p), score, needles.needles(p)) for name, p, score in rules]
-        secrets = [re.compile(p) for _, p, _ in fixed.SECRETS]
-        example = re.compile(fixed.EXAMPLE)
-        for frame in frames:
-            out = []
-            for own, body in zip(frame["path"], frame["body"], strict=True):
-                if not isinstance(body, str):
-                    continue
-                shown, low = None, needles.fold(body)
-                for name, pattern, score, some in packs:
-                    if some and not any(n in low for n in some):
-                        continue
-                    for m in pattern.finditer(body):
-                        if not examples and example.search(m[0]):
-                            continue
-                        shown = body.splitlines() if shown is None else shown
-                        line = body.count("\n", 0, m.start()) + 1
-                        if line > len(shown):
-                            continue
-                        snippet = shown[line - 1]
-                        for secret in secrets:
-                            snippet = secret.sub(lambda s: _masked(s[0]), snippet)
-                        snippet = snippet.strip()[:200]
-                        digest = hashlib.sha256(snippet.encode("utf-8", "surrogatepass")).hexdigest()
-                        sev = next(s for least, s in ((90, "critical"), (70, "high"), (30, "medium"), (-1, "low")) if score >= least)
-                        mark = hashlib.sha256(f"{name}|{own}|{line}|{digest}".encode()).hexdigest()[:16]
-                        out.append((own, name, sev, line, _masked(m[0]), snippet, digest, f"sha256:{mark}"))
-            yield pd.DataFrame(out, columns=[x.split()[0] for x in FINDING.split(", ")])
+    def scan(own: str | None, body: str | None) -> Iterator[tuple]:
+        return _packs(told, examples).rows(own, body)
 
     rows = df.select(F.col(path).cast("string").alias("path"), F.col(column).alias("body"))
     if all(needles.needles(p) for _, p, _ in rules):
         some = sorted({n for _, p, _ in rules for n in needles.needles(p)})
         # The folded text is bound once; as a column it would be folded again for each string when the filter moves below it.
         rows = rows.filter(F.exists(F.array(needles.folded(F.col("body"))), lambda low: functools.reduce(Column.__or__, [F.contains(low, F.lit(n)) for n in some])))
-    return rows.mapInPandas(scan, FINDING)
+    return searched(rows, [], scan)
 
 
 def merged(a: DataFrame, b: DataFrame) -> DataFrame:

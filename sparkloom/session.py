@@ -35,6 +35,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession, most: int = 1_000) -> None:
+    """Whole texts reach Python workers in small batches: lowers the session's limit to ``most`` rows, if it is higher."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= most:
+        spark.conf.set(name, str(most))
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package to the Python workers, once for each application, unless their path has it already."""
     context = spark.sparkContext
