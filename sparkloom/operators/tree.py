@@ -12,13 +12,12 @@ import re
 from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sparkloom.functions import fixed, packs, text
-from sparkloom.functions.needles import fold, hints, needles
+from sparkloom.functions.needles import fold, hints, longest, needles, solid
 from sparkloom.operators import scan, state
 
 #: Findings kept of one tree, and hot spots, dependencies and paths of each class.
@@ -177,7 +176,7 @@ class Scanner:
 
     def pack(self, lang: str | None) -> list:
         if lang not in self.packs:
-            self.packs[lang] = [(r, re.compile(r.pattern), hints(r.pattern)) for r in rules_for(lang)]
+            self.packs[lang] = [(r, re.compile(r.pattern), hints(r.pattern), solid(r.pattern)) for r in rules_for(lang)]
         return self.packs[lang]
 
     def masked(self, line: str) -> str:
@@ -192,9 +191,9 @@ class Scanner:
         return line.strip()[:200]
 
     def rows(self, path: str, lang: str | None, prose: bool, body: str) -> Iterator[tuple]:
-        low, shown = fold(body), None
-        for rule, pattern, some in self.pack(lang):
-            if (prose and not rule.prose) or (some and not any(n in low for n in some)):
+        low, shown, most = fold(body), None, longest(body)
+        for rule, pattern, some, least in self.pack(lang):
+            if (prose and not rule.prose) or least > most or (some and not any(n in low for n in some)):
                 continue
             for m in pattern.finditer(body):
                 if rule.reason is None and self.example.search(m[0]):
@@ -206,7 +205,7 @@ class Scanner:
                 snippet = self.masked(shown[line - 1])
                 digest = hashlib.sha256(snippet.encode("utf-8", "surrogatepass")).hexdigest()
                 receipt = hashlib.sha256(f"{rule.id}|{path}|{line}|{digest}".encode("utf-8", "surrogatepass")).hexdigest()[:16]
-                severity = next(s for least, s in ((90, "critical"), (70, "high"), (30, "medium"), (-1, "low")) if rule.score >= least)
+                severity = next(s for at_least, s in ((90, "critical"), (70, "high"), (30, "medium"), (-1, "low")) if rule.score >= at_least)
                 yield path, rule.id, severity, line, rule.reason or scan._masked(m[0]), snippet, digest, f"sha256:{receipt}"
 
 
@@ -216,18 +215,16 @@ def _scanner() -> Scanner:
     return Scanner()
 
 
-def findings(df: DataFrame, path: str = "path", body: str = "body") -> DataFrame:
-    """Every match of every rule that applies to a file: secrets anywhere, the rest outside prose."""
+def findings(df: DataFrame, path: str = "path", body: str = "body", keep: list[str] | None = None) -> DataFrame:
+    """Every match of every rule that applies to a file: secrets anywhere, the rest outside prose; columns to ``keep`` stand first."""
+    keep = keep or []
 
-    def find(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scanner = _scanner()
-        for frame in frames:
-            out = [row for p, lang, prose, t in zip(frame["path"], frame["lang"], frame["prose"], frame["body"], strict=True) for row in scanner.rows(p, lang if isinstance(lang, str) else None, prose, t)]
-            yield pd.DataFrame(out, columns=[x.split()[0] for x in scan.FINDING.split(", ")])
+    def find(own: str, lang: str | None, prose: bool, text: str) -> Iterator[tuple]:
+        return _scanner().rows(own, lang, prose, text)
 
     p = F.col(path).cast("string")
-    rows = df.select(p.alias("path"), language(p).alias("lang"), is_prose(p).alias("prose"), F.col(body).cast("string").alias("body"))
-    return rows.filter("path is not null and body is not null").mapInPandas(find, scan.FINDING)
+    rows = df.select(*keep, p.alias("path"), language(p).alias("lang"), is_prose(p).alias("prose"), F.col(body).cast("string").alias("body"))
+    return scan.searched(rows.filter("path is not null and body is not null"), keep, find)
 
 
 def rank(severity: Column) -> Column:
