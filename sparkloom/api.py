@@ -73,7 +73,7 @@ def map_site(responses: DataFrame, seed: str, most: int = 50) -> DataFrame:
 
 def audit(files: DataFrame, tree_name: str = "tree") -> dict[str, DataFrame]:
     """Findings, inventory, hot spots, languages, dependencies, imports and report of trees of files (tree, path, body)."""
-    found = tree.findings(files).join(files.select(tree_name, "path"), "path")
+    found = tree.findings(files, keep=[tree_name])
     languages = files.select(tree_name, tree.language(F.col("path")).alias("language")).filter("language is not null").groupBy(tree_name, "language").agg(F.count("*").alias("files"))
     listed = files.select("path", tree.ecosystem(F.col("path")).alias("eco"), "body").filter("eco is not null")
     return {

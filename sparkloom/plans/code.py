@@ -127,9 +127,7 @@ def file_rule_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def file_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first 120 findings of each tree, worst first, masked and with receipts."""
-    rows = files(spark, sf_dir)
-    found = tree.findings(rows).join(rows.select("path", "tree"), "path")
-    return tree.ordered(found, "tree")
+    return tree.ordered(tree.findings(files(spark, sf_dir), keep=["tree"]), "tree")
 
 
 LINES_SQL = "(SELECT doc_id, tree, path, pos AS line, ls[pos] AS t FROM (SELECT doc_id, tree, path, ls, unnest(range(1, len(ls) + 1)) AS pos FROM (SELECT doc_id, tree, path, CASE WHEN ends_with(body, chr(10)) THEN string_split(body, chr(10))[:-2] ELSE string_split(body, chr(10)) END AS ls FROM {files} WHERE ends_with(path, '.py'))))"
