@@ -86,7 +86,7 @@ def place(files: DataFrame) -> DataFrame:
     """Findings of the nodes of an audit: core secrets, contract rules and unpinned dependencies, each once."""
     known = files.filter(tree.is_node_file(F.col("path")))
     secrets = scan.findings(known, "path", "body", fixed.SECRETS).select("path", "line", "rule", "severity").dropDuplicates(["path", "line", "rule"])
-    contracts = scan.contract_findings(scan.code_lines(files.filter(tree.is_contract(F.col("path"))), "path", "body")).select("path", "line", "rule", "severity")
+    contracts = scan.contract_file_findings(files.filter(tree.is_contract(F.col("path"))), "path", "body").select("path", "line", "rule", "severity")
     loose = manifests.unpinned(scan.code_lines(known, "path", "body")).select("path", "line", F.lit("unpinned_dependency").alias("rule"), F.lit("low").alias("severity"))
     return secrets.unionByName(contracts).unionByName(loose)
 

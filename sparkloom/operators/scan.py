@@ -187,31 +187,45 @@ def contract_findings(lines: DataFrame) -> DataFrame:
     is one whose success is discarded, or not asked for within three lines. State written within twelve lines after an
     external call is open to reentry.
     """
-    after = Window.partitionBy("path").orderBy("line")
-    t = F.col("text")
-    next_lines = F.array(*[F.lead("text", i).over(after) for i in range(1, fixed.REENTRY_LINES + 1)])
-    rows = lines.withColumn("next", next_lines)
-    whole = lines.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("line", "text"))).alias("all"))
-    spans = whole.select("path", F.explode(spans_of(F.array_join(F.transform("all", lambda x: x["text"]), "\n"), fixed.SEED_OVER_LINES)).alias("s")).select("path", "s.start", "s.end")
-    seeds = spans.select("path", F.lit("weak_randomness").alias("rule"), F.col("start").alias("line"), F.lit("high").alias("severity"))
-    hits = F.array_compact(F.array(*[F.when(t.rlike(p), F.struct(F.lit(i).alias("i"), F.lit(r).alias("rule"), F.lit(s).alias("severity"))) for i, (r, s, p) in enumerate(fixed.CONTRACT)]))
-    single = rows.filter(~is_comment(t)).select("path", "line", F.explode(hits).alias("h")).select("path", "line", "h.*")
-    plain = [i for i, (_, _, p) in enumerate(fixed.CONTRACT) if p == fixed.BLOCK_VALUE]
-    covered = single.filter(F.col("i").isin(plain)).join(spans, "path").filter("line between start and end").select("path", "line", "i").distinct()
-    single = single.join(covered, ["path", "line", "i"], "left_anti").select("path", "rule", "line", "severity", "i")
+    return _contracts(lines.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("line", "text"))).alias("all")))
+
+
+def contract_file_findings(files: DataFrame, path: str, column: str) -> DataFrame:
+    """The same on whole files, each a row: its lines stay together, and only findings are shuffled."""
+    return _contracts(files.select(F.col(path).alias("path"), F.transform(text.lines(F.col(column)), lambda t, i: F.struct((i + 1).alias("line"), t.alias("text"))).alias("all")))
+
+
+def _contracts(whole: DataFrame) -> DataFrame:
+    """Contract rules on (path, all), where ``all`` has the (line, text) of a file in order."""
+    spans = spans_of(F.array_join(F.transform("all", lambda x: x["text"]), "\n"), fixed.SEED_OVER_LINES)
+
+    def place(x: Column, i: Column) -> Column:
+        following = F.transform(F.slice("all", i + 2, fixed.REENTRY_LINES), lambda y: y["text"])
+        covered = F.exists("spans", lambda s: (s["start"] <= x["line"]) & (x["line"] <= s["end"]))
+        begins = F.exists("spans", lambda s: s["start"] == x["line"])
+        return F.struct(x["line"].alias("line"), x["text"].alias("text"), following.alias("next"), covered.alias("covered"), begins.alias("begins"))
+
+    rows = whole.withColumn("spans", spans).select("path", F.explode(F.transform("all", place)).alias("x")).select("path", "x.*")
+    t, line = F.col("text"), F.col("line")
+
+    def found(when: Column, i: int, rule: str, severity: str, at: Column = line) -> Column:
+        return F.when(when, F.struct(F.lit(i).alias("i"), F.lit(rule).alias("rule"), at.alias("line"), F.lit(severity).alias("severity")))
+
+    free = {True: ~is_comment(t) & ~F.col("covered"), False: ~is_comment(t)}
+    single = [found(free[p == fixed.BLOCK_VALUE] & t.rlike(p), i, r, s) for i, (r, s, p) in enumerate(fixed.CONTRACT)]
     var = F.regexp_extract(t, r"\(\s*bool\s+(\w+)\s*,", 1)
-    near = F.array_join(F.slice("next", 1, 3), "\n")
-    calls = rows.filter(F.contains(t, F.lit(".call")) & ~F.startswith(F.trim(t), F.lit("//"))).select("path", "line", t.alias("text"), var.alias("var"), near.alias("near"))
+    rows = rows.withColumn("is_call", F.contains(t, F.lit(".call")) & ~F.startswith(F.trim(t), F.lit("//")))
+    rows = rows.withColumn("var", F.when(F.col("is_call"), var)).withColumn("n", write_after(t, F.col("next")))
     # The name that was captured stands where the expression has a NUL.
-    named = F.regexp_replace("near", F.concat(F.lit(r"\b"), F.col("var"), F.lit(r"\b")), "\x00")
+    named = F.regexp_replace(F.array_join(F.slice("next", 1, 3), "\n"), F.concat(F.lit(r"\b"), F.col("var"), F.lit(r"\b")), "\x00")
     asked = named.rlike(r"require\s*\(\s*\x00|if\s*\(\s*!?\s*\x00")
-    loose = calls.filter(((F.col("var") != "") & ~asked) | ((F.col("var") == "") & F.col("text").rlike(r"^\s*[^=;]+\.call\s*[({]")))
-    reentry = rows.select("path", "line", write_after(t, F.col("next")).alias("n")).filter("n is not null")
-    found = [
-        seeds.withColumn("i", F.lit(-1)), single, loose.select("path", F.lit("unchecked_call").alias("rule"), "line", F.lit("high").alias("severity"), F.lit(0).alias("i")),
-        reentry.select("path", F.lit("reentrancy_state_after_call").alias("rule"), (F.col("line") + F.col("n")).alias("line"), F.lit("critical").alias("severity"), F.lit(0).alias("i")),
+    loose = F.when(F.col("var") != "", ~asked).otherwise(t.rlike(r"^\s*[^=;]+\.call\s*[({]"))
+    hits = [
+        found(F.col("begins"), -1, "weak_randomness", "high"), *single, found(F.col("is_call") & loose, 0, "unchecked_call", "high"),
+        found(F.col("n").isNotNull(), 0, "reentrancy_state_after_call", "critical", line + F.col("n")),
     ]
-    every = functools.reduce(DataFrame.unionByName, found).groupBy("path", "rule", "line").agg(F.min(F.struct("i", "severity")).alias("h")).select("path", "rule", "line", F.col("h.severity").alias("severity"))
+    every = rows.select("path", F.explode(F.array_compact(F.array(*hits))).alias("h")).select("path", "h.*")
+    every = every.groupBy("path", "rule", "line").agg(F.min(F.struct("i", "severity")).alias("h")).select("path", "rule", "line", F.col("h.severity").alias("severity"))
     order = F.array(*[F.lit(s) for s in fixed.SEVERITIES])
     milder = F.element_at(order, F.least(F.array_position(order, F.col("severity")).cast("int") + 1, F.lit(5)))
     return every.withColumn("severity", F.when(F.col("path").rlike(fixed.CONTRACT_TEST_PATH), milder).otherwise(F.col("severity")))

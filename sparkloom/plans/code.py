@@ -276,7 +276,7 @@ def file_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
     pick = lambda items: F.element_at(F.array(*map(F.lit, items)), (d % len(items) + 1).cast("int"))
     path = F.replace(pick(CONTRACT_PATHS), F.lit("{}"), d.cast("string"))
     rows = table(spark, sf_dir, "documents").select(path.alias("path"), F.concat(pick(CONTRACT_BODIES), F.lit("\n// "), F.left("text", F.lit(40))).alias("body"))
-    found = scan.contract_findings(scan.code_lines(rows, "path", "body"))
+    found = scan.contract_file_findings(rows, "path", "body")
     return found.select("path", "rule", F.col("line").cast("int").alias("line"), "severity")
 
 
